@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: short lineage that outlives executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet, with folders by the columns ``by`` (last ones), and read again: short lineage that outlives executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.partitionBy(*by).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
