@@ -235,7 +235,7 @@ def verified(members: DataFrame, rows: DataFrame, size: int, percent: int, most:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row.
+    """``doc_id, n_shingles, component_id, kept`` of every row, and ``_row``, the hash of id and text.
 
     Documents are linked whose sets of ``size``-word shingles have a similarity of ``percent`` or more.  Texts without
     words, null or empty, have no shingle and are linked with nothing.  A component's id is its smallest
@@ -251,6 +251,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.select("node", "first").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(named, "node", "left")
+    out = signed.select("id", "row", "n", "node").join(named, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), F.col("row").alias("_row"))

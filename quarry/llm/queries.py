@@ -59,7 +59,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.near_dups import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("_row")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,7 +243,7 @@ def repeated_windows(rows: DataFrame, length: int, core: int, batches: int, most
 
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, core: int = CORE, batches: int = 4, most: int = 20_000) -> DataFrame:
-    """``docs`` with ``_bytes`` (what remains of each text, not always UTF-8), ``_n_bytes, _n_removed, _n_spans``."""
+    """``docs`` with ``_bytes`` (what remains of each text), ``_kept`` (the same without halves of characters), ``_n_bytes, _n_removed, _n_spans``."""
     key = F.xxhash64(id_col, text_col)
     rows = docs.select(key.alias("row"), F.col(text_col).alias("text"))
     spans = repeated_windows(rows, length, core, batches, most)
@@ -269,10 +269,11 @@ def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept.append(np.frombuffer(body, np.uint8)[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 n.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (total, removed, n)]], [*names, "_bytes", "_n_bytes", "_n_removed", "_n_spans"])
+            whole = [b.decode("utf-8", "ignore") for b in kept]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(kept, pa.binary()), pa.array(whole, pa.string()), *[pa.array(x, pa.int64()) for x in (total, removed, n)]], [*names, "_bytes", "_kept", "_n_bytes", "_n_removed", "_n_spans"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return out.mapInArrow(strip, f"{fields}, _bytes binary, _n_bytes long, _n_removed long, _n_spans long")
+    return out.mapInArrow(strip, f"{fields}, _bytes binary, _kept string, _n_bytes long, _n_removed long, _n_spans long")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
