@@ -11,8 +11,11 @@ island of its shard.  A shard that reaches ``ceil(tokens / size)`` bins can't be
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +27,85 @@ from quarry.llm.common import chunks, stored, texts
 
 #: Strings whose ids a worker remembers before it starts afresh; bounds memory, not results.
 REMEMBERED = 400_000
+#: Latin letters that no normal form changes, then signs among which no special token or contraction begins.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#*$%&|\"()/+=@~>-]*)")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [k for k in range(256) if k not in own]
+    return {chr(k): k for k in own} | {chr(256 + n): k for n, k in enumerate(rest)}
+
+
+class Merger:
+    """The vocabulary's merges of one pre-token, over bytes.
+
+    Joins of bytes are looked up by what they make, not by their halves.  That gives the same ids:
+    with neighbours x and y that make z, what was merged within them was merged alike in z alone, so if z
+    alone is encoded as z, then x and y are the halves it is made of, and if not, z is never made and is left out here.
+    The byte 255, which no UTF-8 text has, marks the word's end.
+    """
+
+    def __init__(self, model: object, vocabulary: dict[str, int], merges: list):
+        import tiktoken
+        from tokenizers.models import BPE
+
+        pairs = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in merges]
+        within = BPE(vocabulary, pairs)  # the same merges without an end of the word
+        letters, end = byte_letters(), b"\xff"
+        ranks = {bytes([k, 255]): k for k in range(255)} | {bytes([k]): 255 + k for k in range(256)}
+        ids = {}
+        for token, k in vocabulary.items():
+            stem = token.removesuffix("</w>")
+            if stem and all(c in letters for c in stem):
+                ids[bytes(letters[c] for c in stem) + end * (stem != token)] = token, k
+        for x, y in pairs:
+            stem = (x + y).removesuffix("</w>")
+            raw = bytes(letters[c] for c in stem) + end * (stem != x + y)
+            alone = (model if stem != x + y else within).tokenize(stem)
+            if raw not in ranks and [t.id for t in alone] == [vocabulary[x + y]]:
+                ranks[raw] = len(ranks)
+        self.piece = tiktoken.Encoding("words", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.ids = np.zeros(len(ranks), np.uint32)
+        for raw, rank in ranks.items():
+            self.ids[rank] = ids[raw][1] if raw in ids else 0
+
+    def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all runs in a row, and how many each has."""
+        got = [self.piece(r.encode() + b"\xff") for r in runs]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return self.ids[np.fromiter(chain.from_iterable(got), np.int64, int(lengths.sum()))], lengths
+
+
+class Ragged:
+    """Rows of ids, one after the other, that can be appended to and gathered."""
+
+    def __init__(self) -> None:
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.n = 0
+
+    def append(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        used, n = int(self.starts[self.n]), self.n + len(lengths)
+        while used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.flat[used : used + len(flat)] = flat
+        self.starts[self.n + 1 : n + 1] = used + np.cumsum(lengths)
+        self.n = n
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows ``at``, and where each ends."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        where = np.repeat(self.starts[at] - (ends - lengths), lengths)
+        where += np.arange(len(where))
+        return self.flat[where], ends
+
+
 class Encoder:
     """Ids of whole texts by way of their distinct space-free strings."""
 
@@ -34,13 +113,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.merger = Merger(self.model.model, self.model.get_vocab(with_added_tokens=False), json.load(f)["model"]["merges"])
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.rows = Ragged()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -54,20 +133,33 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.forget()
         new = [w for w in words if w not in self.known]
-        n, first = len(new), len(self.known)
-        if n:
-            ids = [e.ids for e in self.model.encode_batch(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, n)
-            flat = np.fromiter((x for i in ids for x in i), np.uint32, int(lengths.sum()))
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while first + n + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.starts[first + 1 : first + n + 1] = self.used + np.cumsum(lengths)
-            self.used += len(flat)
-            self.known.update(zip(new, range(first, first + n), strict=True))
-        return np.fromiter((self.known[w] for w in words), np.int64, len(words))
+        if new:
+            first = len(self.known)
+            self.rows.append(*self.encode_words(new))
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the space-free strings in a row, and how many each has.
+
+        Most strings are a run of letters and a run of signs, each of them one pre-token; the different runs are
+        merged here and put together.  The others go through the whole tokenizer.
+        """
+        simple = [PLAIN.fullmatch(w) for w in words]
+        number: dict[str, int] = {"": 0}
+        halves = [number.setdefault(r, len(number)) for m in simple if m for r in (m[1].lower(), m[2])]
+        known = Ragged()
+        known.append(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        known.append(*self.merger.encode(list(number)[1:]))
+        odd = [w for w, m in zip(words, simple, strict=True) if not m]
+        ids = [e.ids for e in self.model.encode_batch(odd, add_special_tokens=False)]
+        known.append(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        two = np.zeros((len(words), 2), np.int64)
+        plain = np.fromiter((m is not None for m in simple), bool, len(words))
+        two[plain] = np.reshape(halves, (-1, 2))
+        two[~plain, 0] = len(number) + np.arange(len(odd))
+        flat, ends = known.take(two.ravel())
+        return flat, np.diff(ends[1::2], prepend=0)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start and the last ones end."""
@@ -75,13 +167,8 @@ class Encoder:
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = pc.dictionary_encode(words.flatten())
-        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        lengths = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.starts[at] - (ends - lengths), lengths)
-        where += np.arange(total)
-        return self.flat[where], np.concatenate([[0], ends])[bounds]
+        ids, ends = self.rows.take(self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()])
+        return ids, np.concatenate([[0], ends])[bounds]
 
 
 def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
