@@ -134,26 +134,47 @@ def window_hashes(body: np.ndarray, starts: np.ndarray, length: int, which: int)
     return (total[starts + length] - total[starts]) * power[n - starts]
 
 
-def compared(groups: np.ndarray, lead: np.ndarray, windows: np.ndarray, stretches: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """For each stretch the ranges of its windows that another stretch of its group has at the same offset."""
-    body = np.frombuffer(b"".join(stretches), np.uint8)
-    starts = np.cumsum([0, *map(len, stretches[:-1])])
-    own = np.repeat(np.arange(len(stretches)), windows)
-    k = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = np.repeat(starts, windows) + k
-    offset = (np.repeat(lead, windows) - k).astype(np.uint64)
-    one, two = (window_hashes(body, place, length, w) for w in (0, 1))
-    one ^= (groups.astype(np.uint64)[own] * MIX) ^ (offset * np.uint64(0xC2B2AE3D27D4EB4F))
-    order = np.argsort(one, kind="stable")
-    same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
-    again = np.zeros(len(own), bool)
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
-    out: list[list[tuple[int, int]]] = [[] for _ in stretches]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])) | np.concatenate([[0], np.diff(own) != 0, [0]]))
-    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if again[s]:
-            out[own[s]].append((int(k[s]), int(k[e - 1]) + 1))
+def compared(groups: np.ndarray, lead: np.ndarray, windows: np.ndarray, stretches: list[bytes], length: int, at_once: int = 400_000) -> list[list[tuple[int, int]]]:
+    """For each stretch the ranges of its windows that another stretch of its group has at the same offset.
+
+    Windows meet at equal offsets only, so many of them are compared in bands of offsets of about ``at_once`` windows.
+    """
+    again = [np.zeros(w, bool) for w in windows.tolist()]
+    low, high = int((lead - windows + 1).min()), int(lead.max()) + 1
+    band = high - low if windows.sum() <= at_once else max(1, at_once // len(stretches))
+    for o in range(low, high, band):
+        first, last = np.maximum(lead - (o + band - 1), 0), np.minimum(lead - o, windows - 1)
+        inside = np.flatnonzero(first <= last)
+        size = (last - first + 1)[inside]
+        one, two = (np.empty(int(size.sum()), np.uint64) for _ in range(2))
+        ends = np.cumsum(size)
+        s = 0
+        while s < len(inside):  # hashes of about a quarter of a megabyte of text at a time
+            e, n = s, 0
+            while e < len(inside) and (e == s or n + size[e] + length <= 1 << 18):
+                n += size[e] + length
+                e += 1
+            own, count = inside[s:e], size[s:e]
+            body = b"".join(stretches[k][f : l + length] for k, f, l in zip(own.tolist(), first[own].tolist(), last[own].tolist(), strict=True))
+            starts = np.cumsum(count + length - 1) - (count + length - 1)
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            place = np.repeat(starts, count) + step
+            part = slice(int(ends[s] - size[s]), int(ends[e - 1]))
+            one[part], two[part] = (window_hashes(np.frombuffer(body, np.uint8), place, length, w) for w in (0, 1))
+            offset = (np.repeat((lead - first)[own], count) - step).astype(np.uint64)
+            one[part] ^= np.repeat(groups[own].astype(np.uint64) * MIX, count) ^ (offset * np.uint64(0xC2B2AE3D27D4EB4F))
+            s = e
+        order = np.argsort(one, kind="stable")
+        same = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+        found = np.zeros(len(one), bool)
+        found[order[1:]] |= same
+        found[order[:-1]] |= same
+        for k, e, n in zip(inside.tolist(), ends.tolist(), size.tolist(), strict=True):
+            again[k][first[k] : last[k] + 1] = found[e - n : e]
+    out = []
+    for flags in again:
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)))
     return out
 
 
