@@ -125,10 +125,11 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between each node and one other that has the same table key.
+    """Edges ``a, b`` that connect each node with the smallest one of every table key it has.
 
-    The rows of one hash of the first collection lie together; within them the second
-    collection's hashes tell tables apart.  What a task keeps is one node for each key of the hash at hand.
+    The rows of one hash of the first collection lie together, in the nodes' order; within them the second
+    collection's hashes tell tables apart.  What a task keeps is the first node for each key of the hash at hand.
+    A node has one edge, to the lowest of its keys' first nodes; the other first nodes are linked to that one.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,16 +146,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
                     last, seen = keys[s], {}
                 for k in range(s, e):
                     node, band = nodes[k].as_py(), bands[k].as_py()
-                    for j in range(0, 2 * TABLES, 2):
-                        first = seen.setdefault((j, band[j : j + 2]), node)
-                        if first != node:
-                            out.add((node, first))
+                    met = {seen.setdefault((j, band[j : j + 2]), node) for j in range(0, 2 * TABLES, 2)}
+                    low = min(met)
+                    met.add(node)
+                    out.update((m, low) for m in met if m != low)
             if out:
                 a, b = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     rows = nodes.select("node", F.explode("keys").alias("key"), "bands")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a binary, b binary").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "a binary, b binary").distinct()
 
 
 def linked(sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[tuple[int, int]]:
