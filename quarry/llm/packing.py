@@ -163,7 +163,7 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids start and the last ones end."""
-        words = pc.split_pattern(column, " ")
+        words = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")  # no token sees which white space it was
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = pc.dictionary_encode(words.flatten())
