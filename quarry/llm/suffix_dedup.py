@@ -76,12 +76,14 @@ def runs(body: np.ndarray, bounds: np.ndarray, length: int, core: int) -> tuple[
 
 
 def suffixes(rows: DataFrame, length: int, core: int) -> DataFrame:
-    """The entries of ``row, text``: ``print, s1, s2`` (fingerprint and digest), ``row, at, lead, windows``.
+    """The entries of ``row, text``: ``print, s1, s2`` (fingerprint and digest), ``row, at, lead, windows, n``.
 
-    ``at`` is the first window's place, ``lead`` the anchor's distance from it.
+    ``at`` is the first window's place, ``lead`` the anchor's distance from it.  A stretch that a text has ``n`` times is
+    one entry; its other places are rows with an ``n`` of 0, those that join put together.  So a text that goes
+    round and round has a few rows, not one a turn.
     """
-    names = ["print", "s1", "s2", "row", "at", "lead", "windows"]
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+    names = ["print", "s1", "s2", "row", "at", "lead", "windows", "n"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 4
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
@@ -92,11 +94,24 @@ def suffixes(rows: DataFrame, length: int, core: int) -> DataFrame:
             whole = b"".join(xxhash.xxh3_128_digest(view[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True))
             whole = np.frombuffer(whole, np.int64).reshape(-1, 2)
             text = np.searchsorted(bounds, first, "right") - 1
-            row = batch.column("row").to_numpy()[text]
-            columns = prints.astype(np.int64), whole[:, 0], whole[:, 1], row, first - bounds[text], anchor - first, n
+            order = np.lexsort((first, whole[:, 1], whole[:, 0], text))
+            fresh = np.ones(len(order), bool)
+            if len(order):
+                fresh[1:] = (np.diff(text[order]) != 0) | (np.diff(whole[order], axis=0) != 0).any(1)
+            heads = np.flatnonzero(fresh)
+            times = np.diff(np.append(heads, len(order)))
+            own, rest = order[heads], np.sort(order[~fresh])
+            joins = np.zeros(len(rest), bool)
+            joins[1:] = (text[rest][1:] == text[rest][:-1]) & (first[rest][1:] == (first + n)[rest][:-1])
+            lead, last = np.flatnonzero(~joins), np.flatnonzero(~np.append(joins, False)[1:])
+            keep = np.concatenate([own, rest[lead]])
+            n = np.concatenate([n[own], (first + n)[rest[last]] - first[rest[lead]]])
+            times = np.concatenate([times, np.zeros(len(lead), np.int64)])
+            row = batch.column("row").to_numpy()[text[keep]]
+            columns = prints[keep].astype(np.int64), whole[keep, 0], whole[keep, 1], row, first[keep] - bounds[text[keep]], (anchor - first)[keep], n, times
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.mapInArrow(sample, "print long, s1 long, s2 long, row long, at int, lead int, windows int")
+    return rows.mapInArrow(sample, "print long, s1 long, s2 long, row long, at int, lead int, windows int, n int")
 
 
 class Family:
@@ -107,7 +122,7 @@ class Family:
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes a batch's entries in; returns the fingerprints that it brings and that are now there twice."""
-        new = stored(batch.groupBy("print").agg(F.count("*").alias("n")), "suffix-level")
+        new = stored(batch.groupBy("print").agg(F.sum("n").alias("n")), "suffix-level")
         held = new.select("print", "n", F.lit(1).alias("new"))
         for _, level in self.levels:
             held = held.unionByName(level.select("print", "n", F.lit(0).alias("new")))
@@ -123,15 +138,16 @@ class Family:
 
 
 def window_hashes(body: np.ndarray, starts: np.ndarray, length: int, which: int) -> np.ndarray:
-    """A polynomial hash of the ``length`` bytes from each start."""
+    """A polynomial hash of the ``length`` bytes from each start, the same whatever stands around them."""
     n = len(body)
     power = np.full(n + 1, BASES[which], np.uint64)
     power[0] = 1
     power = np.multiply.accumulate(power)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(CODES[which][body] * power[:n], out=total[1:])
-    # brought to one power instead of divided: the last place's
-    return (total[starts + length] - total[starts]) * power[n - starts]
+    # A sum from place p on has a factor of B ** p; it is brought to one high power, the same for every body.
+    rest = np.uint64(pow(BASES[which], (1 << 40) - n, 1 << 64))
+    return (total[starts + length] - total[starts]) * power[n - starts] * rest
 
 
 def compared(groups: np.ndarray, lead: np.ndarray, windows: np.ndarray, stretches: list[bytes], length: int, at_once: int = 400_000) -> list[list[tuple[int, int]]]:
@@ -251,15 +267,16 @@ def repeated_windows(rows: DataFrame, length: int, core: int, batches: int, most
     entries = stored(entries, "suffixes", "batch")
     family, hits = Family(), None
     for k in range(batches):
-        new = family.add(entries.where(F.col("batch") == k))
+        new = family.add(entries.where((F.col("batch") == k) & (F.col("n") > 0)))
         hits = new if hits is None else hits.unionByName(new)
-    met = stored(entries.drop("batch").join(hits.distinct(), "print"), "suffixes-met")
-    same = met.groupBy("print", "s1", "s2").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "lead", "windows")).alias("e"))
+    met = stored(entries.where("n > 0").drop("batch").join(hits.distinct(), "print"), "suffixes-met")
+    same = met.groupBy("print", "s1", "s2").agg(F.sum("n").alias("n"), F.min(F.struct("row", "at", "lead", "windows")).alias("e"))
     same = stored(same.select("print", "s1", "s2", "n", "e.*"), "stretches")
     several = same.groupBy("print").agg(F.count("*").alias("m")).where("m > 1")
     mixed = same.join(several, "print")
     full = met.join(same.where("n > 1").select("print", "s1", "s2"), ["print", "s1", "s2"]).select("row", "at", "windows")
-    spans = full.unionByName(partly(mixed, rows, length, most))
+    again = entries.where("n = 0").select("row", "at", "windows")
+    spans = full.unionByName(again).unionByName(partly(mixed, rows, length, most))
     return spans.groupBy("row").agg(F.collect_list(F.struct("at", "windows")).alias("spans"))
 
 
