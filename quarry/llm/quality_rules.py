@@ -22,6 +22,8 @@ from quarry.llm.common import WHITE, stored
 SPREAD = {"x_word": 35.0, "x_symbol": 60.0, "x_line": 60.0, "x_upper": 35.0, "x_repeat": 60.0}
 GRID = 1000
 P = list(SPREAD)
+#: Groups up to which their estimates (a few hundred bytes each) are sent to every task; beyond, rows are joined by group.
+FEW_GROUPS = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -69,12 +71,17 @@ def on_grid(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.round(GRID * x).cast("long") for k, x in rates.items()})
 
 
-def subset(df: DataFrame, share: float) -> DataFrame:
+def held(per_group: DataFrame, few: bool) -> DataFrame:
+    """A table of one row a group, sent to every task where the groups were counted and are few; then no row moves to its group."""
+    return F.broadcast(per_group) if few else per_group
+
+
+def subset(df: DataFrame, share: float, few: bool) -> DataFrame:
     """Of each group the ``share`` nearest rows (ties included), by the distance ``_d``."""
     near = F.least(F.round(F.col("_d") * 100), F.lit(2_000_000.0)).cast("int")  # far ones only have to be far
     df = df.withColumn("_d", near)
     edges = stored(df.groupBy("_g").agg(F.percentile("_d", F.lit(share)).alias("_edge")), "mcd-edges")
-    return df.join(edges, "_g").where("_d <= _edge").drop("_edge")
+    return df.join(held(edges, few), "_g").where("_d <= _edge").drop("_edge")
 
 
 def scatter(rows: DataFrame, consistency: float) -> DataFrame:
@@ -105,9 +112,9 @@ def distance() -> dict[str, Column]:
     return out
 
 
-def measured(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+def measured(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
     """``rows`` with the squared distance ``_d`` to their group's estimate."""
-    out = rows.join(estimate, "_g", "left")
+    out = rows.join(held(estimate, few), "_g", "left")
     for name, y in distance().items():
         out = out.withColumn(name, y)
     total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, len(P))), F.col("_y0") * F.col("_y0"))
@@ -131,17 +138,18 @@ def quality_rules(
     names = F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"})
     per = rows.where("NOT base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
     groups = stored(per.select(names.alias("_k"), F.when(F.col("_n") >= least, names).otherwise(F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"})).alias("_g")), "mcd-groups")
-    rows = rows.withColumn("_k", names).join(groups, "_k", "left").drop("_k", "_lang", "_source")
+    few = groups.count() <= FEW_GROUPS
+    rows = rows.withColumn("_k", names).join(held(groups, few), "_k", "left").drop("_k", "_lang", "_source")
     pool = rows.where("NOT base_failed").select("_g", *P)
 
     middle = stored(pool.groupBy("_g").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m_{x}") for x in P], F.count("*").alias("_size")), "mcd-middle")
-    apart = pool.join(middle, "_g")
+    apart = pool.join(held(middle, few), "_g")
     wide = stored(apart.groupBy("_g").agg(*[F.percentile(F.round(2 * F.abs(F.col(x) - F.col(f"m_{x}"))), F.lit(0.5)).alias(f"s_{x}") for x in P]), "mcd-wide")
     z = [(F.col(x) - F.col(f"m_{x}")) / F.greatest(0.7413 * F.col(f"s_{x}"), F.lit(SPREAD[x])) for x in P]
-    start = apart.join(wide, "_g").withColumn("_d", sum((a * a for a in z[1:]), z[0] * z[0])).select("_g", *P, "_d")
-    estimate = scatter(subset(start, share), 1.0)
+    start = apart.join(held(wide, few), "_g").withColumn("_d", sum((a * a for a in z[1:]), z[0] * z[0])).select("_g", *P, "_d")
+    estimate = scatter(subset(start, share, few), 1.0)
     for _ in range(steps):
-        estimate = scatter(subset(measured(pool, estimate), share), 1.45)
-    estimate = estimate.join(middle.where(F.col("_size") >= fewest).select("_g"), "_g", "left_semi")
-    out = measured(rows, estimate)
+        estimate = scatter(subset(measured(pool, estimate, few), share, few), 1.45)
+    estimate = estimate.join(held(middle.where(F.col("_size") >= fewest).select("_g"), few), "_g", "left_semi")
+    out = measured(rows, estimate, few)
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.coalesce("_d", F.lit(0.0)) <= cutoff)).alias("kept"), F.round("_d", 3).alias("distance"))
