@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(nodes, "nodes")
     grouped = components(candidates(nodes))
     members = stored(nodes.select("node", "row", "n").join(grouped, "node"), "members")
-    final = components(verified(members, rows, size, percent))
+    final = components(verified(members, rows, size, percent), forests=True)
     named = nodes.select("node", "first").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component_id")
