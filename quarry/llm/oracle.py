@@ -1,6 +1,13 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express.
+
+Tokenizers and learned models (2, 3, 5, 6) can't be; chat formatting is told for plain messages, the only ones in the driver's tables.
+"""
+
+from quarry.llm.decontaminate import MASKS
+from quarry.llm.quality_rules import GRID, SPREAD
 
 SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 SQL["op10_warc_packages"] = """
 WITH p AS (
@@ -14,3 +21,144 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM f
 """
+
+SQL["op9_chat_format"] = """
+SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, turn AS at_turn, 0 AS level, -1 AS part, 'ok' AS status,
+       '{"content":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json
+FROM conversations
+"""
+
+SQL["op8_near_duplicates"] = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, w[i] || ' ' || w[i + 1] AS shingle FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)
+  UNION ALL SELECT r, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+often AS (SELECT r, shingle, n FROM s JOIN n USING (r) WHERE shingle IN (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1)),
+pairs AS (
+  SELECT a.r AS a, b.r AS b, any_value(a.n) + any_value(b.n) AS total, count(*) AS common
+  FROM often a JOIN often b ON a.shingle = b.shingle AND a.r < b.r AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (total - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, node) AS (SELECT r, r FROM n UNION SELECT x.r, e.b FROM reach x JOIN edges e ON e.a = x.node),
+c AS (SELECT x.r, min(d.doc_id) AS component_id FROM reach x JOIN d ON d.r = x.node GROUP BY x.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.doc_id ELSE c.component_id END AS component_id,
+       n.n IS NULL OR d.doc_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN c ON c.r = d.r
+"""
+
+SQL["op4_suffix_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT r, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+again AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY h) > 1),
+cut AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS fresh FROM again),
+numbered AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM cut),
+spans AS (SELECT r, k, min(i) AS first, max(i) + 400 AS after FROM numbered GROUP BY r, k),
+gaps AS (
+  SELECT r, coalesce(lag(after) OVER (PARTITION BY r ORDER BY k), 1) AS first, first - 1 AS last FROM spans
+  UNION ALL SELECT d.r, coalesce(max(after), 1), any_value(d.n) FROM d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r),
+kept AS (SELECT g.r, coalesce(string_agg(hex(array_slice(d.b, g.first, g.last)), '' ORDER BY g.first) FILTER (g.last >= g.first), '') AS x FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r),
+sums AS (SELECT r, sum(after - first) AS removed, count(*) AS spans FROM spans GROUP BY r)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+"""
+
+
+def seed_rows(table: str) -> str:
+    """Every place of every mask in the word lists ``w`` of a table."""
+    parts = []
+    for k, mask in enumerate(MASKS):
+        key = " || ' ' || ".join(f"w[i + {j}]" for j, c in enumerate(mask) if c == "1")
+        parts.append(f"SELECT r, i, {k} AS mask, {key} AS key FROM (SELECT r, w, unnest(range(1, len(w) - {len(mask) - 2})) AS i FROM {table} WHERE len(w) >= {len(mask)})")
+    return " UNION ALL ".join(parts)
+
+
+PLAIN = rf"list_filter(list_transform({WORDS.format("coalesce(text, '')")}, lambda x: lower(regexp_replace(x, '[^\p{{L}}\p{{N}}]+', '', 'g'))), lambda x: x <> '')"
+
+SQL["op1_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN} AS w FROM documents),
+b AS (SELECT * FROM (SELECT row_number() OVER () AS r, item_id, {PLAIN} AS w FROM benchmark) WHERE len(w) >= 8),
+ds AS ({seed_rows("d")}),
+bs AS ({seed_rows("b")}),
+hits AS (SELECT DISTINCT ds.r AS d, bs.r AS b, ds.i - bs.i AS diagonal FROM ds JOIN bs ON ds.mask = bs.mask AND ds.key = bs.key),
+area AS (
+  SELECT h.*, d.w AS dw, b.w AS bw, greatest(1, diagonal + 1) AS lo, least(len(d.w), diagonal + len(b.w)) AS hi FROM hits h JOIN d ON d.r = h.d JOIN b ON b.r = h.b),
+wide AS (SELECT *, least(13, hi - lo + 1) AS win FROM area WHERE hi - lo + 1 >= least(13, len(bw))),
+same AS (SELECT d, b, diagonal, lo, win, p, CAST(dw[p] = bw[p - diagonal] AS INT) AS eq FROM (SELECT *, unnest(range(lo, hi + 1)) AS p FROM wide)),
+run AS (SELECT *, sum(eq) OVER (PARTITION BY d, b, diagonal ORDER BY p) AS upto FROM same),
+good AS (
+  SELECT x.d, x.b, x.diagonal, min(x.p - x.win + 1) AS first, max(x.p) AS last
+  FROM run x LEFT JOIN run y ON y.d = x.d AND y.b = x.b AND y.diagonal = x.diagonal AND y.p = x.p - x.win
+  WHERE x.p - x.win + 1 >= x.lo AND x.upto - coalesce(y.upto, 0) >= ceil(0.75 * x.win - 1e-9) GROUP BY x.d, x.b, x.diagonal),
+spans AS (
+  SELECT g.d, g.b, g.first, g.last, sum(s.eq) AS equal FROM good g JOIN same s ON s.d = g.d AND s.b = g.b AND s.diagonal = g.diagonal AND s.p BETWEEN g.first AND g.last
+  GROUP BY g.d, g.b, g.diagonal, g.first, g.last),
+best AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY d, b ORDER BY equal DESC, last - first DESC, first DESC) = 1)
+SELECT d.doc_id, b.item_id, CAST(first - 1 AS BIGINT) AS start_word, CAST(last - first + 1 AS BIGINT) AS n_words, CAST(equal AS BIGINT) AS n_equal
+FROM best x JOIN d ON d.r = x.d JOIN b ON b.r = x.b
+"""
+
+
+def quality_sql(cutoff: float = 40.0, share: float = 0.75, steps: int = 2, least: int = 60, fewest: int = 12) -> str:
+    """The quality rules' counts, groups, concentration steps and verdict."""
+    names = list(SPREAD)
+    solved = []
+    for i, x in enumerate(names):
+        minus = "".join(f" - l_{i}{j} * y{j}" for j in range(i))
+        solved.append(f"(p.{x} - m_{x}{minus}) / l_{i}{i}")
+    nested = "SELECT p.*, e.* EXCLUDE (g) FROM {rows} p {join} JOIN {estimate} e ON e.g IS NOT DISTINCT FROM p.g"
+    for i, y in enumerate(solved):
+        nested = f"SELECT p.*, {y} AS y{i} FROM ({nested}) p"
+    total = " + ".join(f"y{i} * y{i}" for i in range(len(names)))
+
+    def measured(rows: str, estimate: str, join: str) -> str:
+        body = nested.replace("{rows}", rows).replace("{estimate}", estimate).replace("{join}", join)
+        extra = ", ".join([*[f"y{i}" for i in range(len(names))], *[f"m_{x}" for x in names], *[f"l_{i}{j}" for i in range(len(names)) for j in range(i + 1)]])
+        return f"SELECT * EXCLUDE ({extra}), {total} AS d FROM ({body})"
+
+    def estimate(name: str, measured_rows: str, consistency: float) -> list[str]:
+        sums = ", ".join([f"sum({x})::DOUBLE AS s_{x}" for x in names] + [f"sum({x} * {y})::DOUBLE AS s_{x}{y}" for k, x in enumerate(names) for y in names[: k + 1]])
+        near = f"{name}_near AS (SELECT g, {', '.join(names)}, CAST(least(round(d * 100), 2000000) AS INT) AS d FROM ({measured_rows}))"
+        edge = f"{name}_edge AS (SELECT g, quantile_cont(d, {share}) AS edge FROM {name}_near GROUP BY g)"
+        held = f"{name}_sums AS (SELECT n.g, count(*)::DOUBLE AS n, {sums} FROM {name}_near n JOIN {name}_edge e ON e.g IS NOT DISTINCT FROM n.g WHERE n.d <= e.edge GROUP BY n.g)"
+        got = f"SELECT *, {', '.join(f's_{x} / n AS m_{x}' for x in names)} FROM {name}_sums"
+        for i, x in enumerate(names):
+            for j, y in enumerate(names[: i + 1]):
+                v = f"(s_{x}{y} - s_{x} * s_{y} / n) / n * {consistency}::DOUBLE" + (f" + {SPREAD[x] ** 2}::DOUBLE" if i == j else "")
+                v += "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j))
+                got = f"SELECT *, {f'sqrt({v})' if i == j else f'({v}) / l_{j}{j}'} AS l_{i}{j} FROM ({got})"
+        columns = ", ".join([*[f"m_{x}" for x in names], *[f"l_{i}{j}" for i in range(len(names)) for j in range(i + 1)]])
+        return [near, edge, held, f"{name} AS (SELECT g, {columns} FROM ({got}))"]
+
+    z = [f"((p.{x} - m_{x}) / greatest(0.7413::DOUBLE * s_{x}, {SPREAD[x]}::DOUBLE))" for x in names]
+    start = f"SELECT p.*, {' + '.join(f'{a} * {a}' for a in z)} AS d FROM pool p JOIN middle m ON m.g IS NOT DISTINCT FROM p.g JOIN wide w ON w.g IS NOT DISTINCT FROM p.g"
+    ctes = [
+        "d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents)",
+        rf"k AS (SELECT *, {WORDS.format('t')} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)",
+        "grams AS (SELECT r, i, w[i : i + 4] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM k WHERE len(w) >= 5))",
+        "repeats AS (SELECT r, i FROM grams QUALIFY count(*) OVER (PARTITION BY r, gram) > 1)",
+        "covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM repeats) GROUP BY r)",
+        """c AS (SELECT k.r, doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(l) AS n_lines,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM k LEFT JOIN covered ON covered.r = k.r)""",
+        f"""x AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  CAST(round({GRID} * ln((word_chars + 100) / (n_words + 20))) AS BIGINT) AS x_word, CAST(round({GRID} * ln(1 + 10.0::DOUBLE * n_symbols / (n_words + 20))) AS BIGINT) AS x_symbol,
+  CAST(round({GRID} * (n_dup_lines / (n_lines + 4))) AS BIGINT) AS x_line, CAST(round({GRID} * (n_upper / (word_chars + 100))) AS BIGINT) AS x_upper,
+  CAST(round({GRID} * (n_repeat_words / (n_words + 20))) AS BIGINT) AS x_repeat FROM c)""",
+        f"groups AS (SELECT lang, source, CASE WHEN count(*) >= {least} THEN [lang, source] ELSE [lang] END AS g FROM x WHERE NOT base_failed GROUP BY lang, source)",
+        "every AS (SELECT x.*, g FROM x LEFT JOIN groups q ON q.lang IS NOT DISTINCT FROM x.lang AND q.source IS NOT DISTINCT FROM x.source)",
+        "pool AS (SELECT * FROM every WHERE NOT base_failed)",
+        f"middle AS (SELECT g, {', '.join(f'quantile_cont({x}, 0.5) AS m_{x}' for x in names)}, count(*) AS size FROM pool GROUP BY g)",
+        f"wide AS (SELECT p.g, {', '.join(f'quantile_cont(round(2 * abs(p.{x} - m_{x})), 0.5) AS s_{x}' for x in names)} FROM pool p JOIN middle m ON m.g IS NOT DISTINCT FROM p.g GROUP BY p.g)",
+        *estimate("e0", start, 1.0),
+    ]
+    for k in range(steps):
+        ctes += estimate(f"e{k + 1}", measured("pool", f"e{k}", ""), 1.45)
+    last = f"(SELECT e.* FROM e{steps} e JOIN middle m ON m.g IS NOT DISTINCT FROM e.g WHERE m.size >= {fewest})"
+    return f"""WITH {', '.join(ctes)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d, 0) <= {cutoff} AS kept, round(d, 3) AS distance
+FROM ({measured('every', last, 'LEFT')})"""
+
+
+SQL["op7_quality_rules"] = quality_sql()
