@@ -75,6 +75,18 @@ def runs(body: np.ndarray, bounds: np.ndarray, length: int, core: int) -> tuple[
     return anchor[first], at[first], np.diff(np.concatenate([first, [len(at)]]))
 
 
+def all_runs(body: np.ndarray, bounds: np.ndarray, length: int, core: int, part: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``runs`` of a body of any size, about ``part`` bytes of it at a time.  A run cut by a border is two with one anchor, whose windows still meet their equals."""
+    if len(body) <= part + length:
+        return runs(body, bounds, length, core)
+    found = []
+    for s in range(0, len(body), part):
+        own = body[s : s + part + length - 1]
+        anchor, first, n = runs(own, np.unique(np.clip(bounds - s, 0, len(own))), length, core)
+        found.append((anchor + s, first + s, n))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def suffixes(rows: DataFrame, length: int, core: int) -> DataFrame:
     """The entries of ``row, text``: ``print, s1, s2`` (fingerprint and digest), ``row, at, lead, windows, n``.
 
@@ -88,7 +100,7 @@ def suffixes(rows: DataFrame, length: int, core: int) -> DataFrame:
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text", 1 << 20):
             body, bounds = raw(texts(batch, "text"))
-            anchor, first, n = runs(body, bounds, length, core)
+            anchor, first, n = all_runs(body, bounds, length, core)
             view = memoryview(body.tobytes())
             prints = np.fromiter((xxhash.xxh3_64_intdigest(view[a : a + core]) for a in anchor.tolist()), np.uint64, len(anchor))
             whole = b"".join(xxhash.xxh3_128_digest(view[a : a + k + length - 1]) for a, k in zip(first.tolist(), n.tolist(), strict=True))

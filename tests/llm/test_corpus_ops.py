@@ -175,6 +175,17 @@ def test_suffix_dedup(spark, length, core, most):
     assert suffix_dedup.suffix_dedup(df.limit(0)).collect() == []
 
 
+def test_long_texts_are_sampled_in_parts():
+    r = random.Random(13)
+    ts = ["".join(r.choice("abc é") for _ in range(n)) for n in (0, 900, 30, 2500, 0, 59, 60)]
+    body, bounds = suffix_dedup.raw(suffix_dedup.pa.array(ts))
+    spread = lambda a, f, n: {(s + k, x) for x, s, m in zip(a.tolist(), f.tolist(), n.tolist(), strict=True) for k in range(m)}
+    whole = spread(*suffix_dedup.runs(body, bounds, 60, 20))
+    for part in (64, 100, 777):
+        assert spread(*suffix_dedup.all_runs(body, bounds, 60, 20, part)) == whole
+    assert len(whole) == sum(max(0, len(t.encode()) - 59) for t in ts)
+
+
 def test_bands_of_offsets_change_nothing():
     r = random.Random(7)
     common = bytes(r.randint(97, 100) for _ in range(90))
