@@ -4,7 +4,9 @@ Every text gets exact counts (words, symbols, repeated lines, words in repeated
 windows).  Documents that fail the base rules go.  The others' counts become a vector of
 five transformed statistics, rates with pseudo-counts so that short texts don't scatter; for each language and
 source a minimum-covariance-determinant estimate is made by concentration steps, and vectors
-whose squared Mahalanobis distance exceeds ``cutoff`` are rejected.
+whose squared Mahalanobis distance exceeds ``cutoff`` are rejected.  The estimate rests on the nearest ``share``
+of a group; where a half-sample estimate finds that fewer rows than that fit, junk would be among them, and
+the half-sample estimate judges the group.
 
 Statistics are rounded to an integer grid.  Sums over a subset are then exact in any order, so a
 task that runs again gives the same estimate; and an exact percentile needs a counter for each
@@ -13,6 +15,8 @@ grid value only, however many rows a hot source has, and is combined before the
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,10 @@ GRID = 1000
 P = list(SPREAD)
 #: Groups up to which their estimates (a few hundred bytes each) are sent to every task; beyond, rows are joined by group.
 FEW_GROUPS = 20_000
+#: Shares of a half-sample fit with their consistency factors (five normal variables): of n rows the nearest (n + 6) / 2, rounded up to one of these.
+HALVES = {0.5: 1.91, 0.55: 1.79, 0.6: 1.68, 0.65: 1.59, 0.7: 1.5, 0.75: 1.41}
+#: Rows of a group, about, on which the starts of a half-sample fit are concentrated; the best goes on over all rows.
+TRIAL = 4000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -84,15 +92,16 @@ def subset(df: DataFrame, share: float, few: bool) -> DataFrame:
     return df.join(held(edges, few), "_g").where("_d <= _edge").drop("_edge")
 
 
-def scatter(rows: DataFrame, consistency: float) -> DataFrame:
-    """Mean and lower Cholesky factor of each group's regularised covariance."""
-    sums = [F.count("*").alias("_n")] + [F.sum(x).cast("double").alias(f"_{x}") for x in P]
+def scatter(rows: DataFrame, consistency: float | Column) -> DataFrame:
+    """Mean and lower Cholesky factor of each group's regularised covariance; ``consistency`` is a number or a column that is the same for a group's rows."""
+    factor = consistency if isinstance(consistency, Column) else F.lit(consistency)
+    sums = [F.count("*").alias("_n"), F.max(factor).alias("_factor")] + [F.sum(x).cast("double").alias(f"_{x}") for x in P]
     sums += [F.sum(F.col(x) * F.col(y)).cast("double").alias(f"_{x}{y}") for k, x in enumerate(P) for y in P[: k + 1]]
     got = stored(rows.groupBy("_g").agg(*sums), "mcd-sums")
     got = got.withColumns({f"m_{x}": F.col(f"_{x}") / F.col("_n") for x in P})
     for i, x in enumerate(P):
         for j, y in enumerate(P[: i + 1]):
-            v: Column = (F.col(f"_{x}{y}") - F.col(f"_{x}") * F.col(f"_{y}") / F.col("_n")) / F.col("_n") * consistency
+            v: Column = (F.col(f"_{x}{y}") - F.col(f"_{x}") * F.col(f"_{y}") / F.col("_n")) / F.col("_n") * F.col("_factor")
             if i == j:
                 v = v + SPREAD[x] ** 2
             for k in range(j):
@@ -112,15 +121,60 @@ def distance() -> dict[str, Column]:
     return out
 
 
-def measured(rows: DataFrame, estimate: DataFrame, few: bool) -> DataFrame:
+def measured(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "left") -> DataFrame:
     """``rows`` with the squared distance ``_d`` to their group's estimate."""
-    out = rows.join(held(estimate, few), "_g", "left")
+    out = rows.join(held(estimate, few), "_g", how)
     for name, y in distance().items():
         out = out.withColumn(name, y)
     total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, len(P))), F.col("_y0") * F.col("_y0"))
     return out.withColumn("_d", total).drop(*estimate.drop("_g").columns, *distance())
 
 
+def halved(df: DataFrame, few: bool) -> DataFrame:
+    """Mean, factor and log determinant ``_det`` of each group's nearest half, by the distance ``_d`` (ties included)."""
+    df = df.withColumn("_d", F.least(F.round(F.col("_d") * 100), F.lit(2_000_000.0)).cast("int"))
+    edges = df.groupBy("_g").agg(F.percentile("_d", F.array(*map(F.lit, HALVES))).alias("_e"), F.count("*").alias("_n"))
+    shares, factors = (f"array({', '.join(f'{x}D' for x in xs)})" for xs in (HALVES, HALVES.values()))
+    edges = edges.withColumn("_k", F.expr(f"least(size(filter({shares}, s -> s < (_n + {len(P) + 1}) / (2 * _n))), {len(HALVES) - 1})"))
+    edges = stored(edges.select("_g", F.expr("_e[_k]").alias("_edge"), F.expr(f"{factors}[_k]").alias("_c")), "mcd-edges")
+    got = scatter(df.join(held(edges, few), "_g").where("_d <= _edge"), F.col("_c"))
+    return got.withColumn("_det", sum((F.log(f"l_{i}{i}") for i in range(1, len(P))), F.log("l_00")))
+
+
+def concentrated(rows: DataFrame, first: DataFrame, few: bool) -> DataFrame:
+    """From the estimates ``first``, concentration steps over ``rows`` until no group's determinant falls; each group's last one."""
+    seen = [moving := stored(first, "mcd-half")]
+    while not moving.isEmpty():
+        new = halved(measured(rows, moving, few, "inner"), few)
+        both = new.withColumn("_now", F.lit(True)).unionByName(moving.withColumn("_now", F.lit(False)))
+        fell = both.groupBy("_g").agg(F.max_by(F.struct(*new.drop("_g").columns), "_now").alias("e"), F.max_by("_det", ~F.col("_now")).alias("_old"))
+        moving = stored(fell.where("e._det < _old - 1e-6").select("_g", "e.*"), "mcd-half")
+        seen.append(moving)
+    return least_determinant(reduce(DataFrame.unionByName, seen))
+
+
+def least_determinant(estimates: DataFrame) -> DataFrame:
+    """Of each group's estimates that with the least determinant."""
+    return stored(estimates.groupBy("_g").agg(F.min_by(F.struct(*estimates.drop("_g").columns), "_det").alias("e")).select("_g", "e.*"), "mcd-least")
+
+
+def half_sample(start: DataFrame, z: list[Column], sizes: DataFrame, few: bool) -> DataFrame:
+    """Each group's minimum-determinant estimate of half its rows, which holds with nearly half of them junk.
+
+    Three starts (nearest by squares, nearest with far values bounded, lowest rates) are concentrated on a
+    sample by row; that with the least determinant goes on over all rows.
+    """
+    bounded = sum((F.tanh(a) * F.tanh(a) for a in z[1:]), F.tanh(z[0]) * F.tanh(z[0]))
+    low = sum(z[2:], z[1])
+    starts = [F.col("_d"), 100 * bounded, 100 + low]
+    trial = start.join(held(sizes, few), "_g").where(f"pmod(_id, greatest(1L, _size div {TRIAL})) = 0")
+    trial = trial.select("_g", F.posexplode(F.array(*[x.cast("double") for x in starts])).alias("_start", "_d"), *P)
+    trial = stored(trial.withColumn("_g", F.to_json(F.struct("_start", "_g"))).drop("_start"), "mcd-trial")
+    tried = concentrated(trial.drop("_d"), halved(trial, few), few).withColumn("_g", F.get_json_object("_g", "$._g"))
+    rows = start.select("_g", *P)
+    return concentrated(rows, halved(measured(rows, least_determinant(tried), few), few), few)
+
+
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
     cutoff: float = 40.0, share: float = 0.75, steps: int = 2, least: int = 60, fewest: int = 12,
@@ -140,16 +194,20 @@ def quality_rules(
     groups = stored(per.select(names.alias("_k"), F.when(F.col("_n") >= least, names).otherwise(F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"})).alias("_g")), "mcd-groups")
     few = groups.count() <= FEW_GROUPS
     rows = rows.withColumn("_k", names).join(held(groups, few), "_k", "left").drop("_k", "_lang", "_source")
-    pool = rows.where("NOT base_failed").select("_g", *P)
+    pool = rows.where("NOT base_failed").select("_g", *P, F.xxhash64("doc_id", *P).alias("_id"))
 
     middle = stored(pool.groupBy("_g").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m_{x}") for x in P], F.count("*").alias("_size")), "mcd-middle")
     apart = pool.join(held(middle, few), "_g")
     wide = stored(apart.groupBy("_g").agg(*[F.percentile(F.round(2 * F.abs(F.col(x) - F.col(f"m_{x}"))), F.lit(0.5)).alias(f"s_{x}") for x in P]), "mcd-wide")
     z = [(F.col(x) - F.col(f"m_{x}")) / F.greatest(0.7413 * F.col(f"s_{x}"), F.lit(SPREAD[x])) for x in P]
-    start = apart.join(held(wide, few), "_g").withColumn("_d", sum((a * a for a in z[1:]), z[0] * z[0])).select("_g", *P, "_d")
+    start = apart.join(held(wide, few), "_g").withColumn("_d", sum((a * a for a in z[1:]), z[0] * z[0])).select("_g", *P, "_id", "_d", *[a.alias(f"z_{x}") for x, a in zip(P, z, strict=True)])
     estimate = scatter(subset(start, share, few), 1.0)
     for _ in range(steps):
         estimate = scatter(subset(measured(pool, estimate, few), share, few), 1.45)
+    half = half_sample(start, [F.col(f"z_{x}") for x in P], middle.select("_g", "_size"), few).drop("_det")
+    junk = measured(pool, half, few).groupBy("_g").agg(F.avg((F.col("_d") <= cutoff).cast("int")).alias("_fit"))
+    junk = stored(junk.where(F.col("_fit") < share).select("_g"), "mcd-junk")
+    estimate = estimate.join(held(junk, few), "_g", "left_anti").unionByName(half.join(held(junk, few), "_g", "left_semi"))
     estimate = estimate.join(held(middle.where(F.col("_size") >= fewest).select("_g"), few), "_g", "left_semi")
     out = measured(rows, estimate, few)
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.coalesce("_d", F.lit(0.0)) <= cutoff)).alias("kept"), F.round("_d", 3).alias("distance"))

@@ -263,6 +263,17 @@ def test_outliers_go_and_prose_stays(spark):
     assert quality_rules(df.limit(0)).collect() == []
 
 
+def test_groups_with_much_junk_lose_it(spark):
+    r = random.Random(14)
+    vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 8))) for _ in range(800)]
+    clean = lambda: ". ".join(" ".join(r.choice(vocabulary) for _ in range(12)).capitalize() for _ in range(r.randint(2, 40))) + "."
+    junk = {(s, k) for s in (30, 45) for k in range(4 * s)}
+    rows = [(f"{s}-{k}", " ".join(x + "###" for x in clean().split()) if (s, k) in junk else clean(), "en", f"s{s}") for s in (30, 45) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    kept = {x["doc_id"] for x in quality_rules(df).collect() if x["kept"]}
+    assert not kept & {f"{s}-{k}" for s, k in junk} and len(kept) >= 800 - len(junk) - 4
+
+
 def test_quality_model(spark):
     r = random.Random(10)
     rows, labels = [], []
