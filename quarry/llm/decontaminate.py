@@ -4,6 +4,7 @@ Fixed masks choose some of a window's words and ignore the others, so a window w
 substituted still hashes alike.  The test items' hashes are joined to those of every training
 window, and around each hit the two texts are compared word by word on the hit's diagonal: an
 overlap is ``window`` aligned words (or a whole shorter item) of which ``agree`` are equal.
+Masks are added for each length until no pattern of substitutions that ``agree`` allows is missed.
 
 Words are compared without case, punctuation and symbols; words of symbols alone don't count.
 The items' side is held by every task, in blocks of at most ``block_words`` words: with a
@@ -12,8 +13,11 @@ larger benchmark the documents are scanned once for each block.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import chunks, texts
 
 MASKS = ("111111", "1101101011", "11001010111", "1010110010011")
+#: Patterns of substitutions up to which masks are chosen one by one; beyond, one run of words that no pattern can break up is the mask.
+PATTERNS = 20_000
 SIGNS = re.compile(r"[\W_]+")
 BITS = 22
 
@@ -70,9 +76,37 @@ def seeds(h: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=None)
+def masks(window: int, agree: float) -> tuple[str, ...]:
+    """``MASKS`` and what further ones it takes to hit every window of so many words of which ``agree`` are equal."""
+    wrong = window - int(np.ceil(agree * window - 1e-9))
+    run = -(-(window - wrong) // (wrong + 1))
+    if math.comb(window, wrong) > PATTERNS:
+        return (*MASKS, "1" * run)
+    equal = np.ones((math.comb(window, wrong), window), bool)
+    for row, places in zip(equal, combinations(range(window), wrong), strict=True):
+        row[list(places)] = False
+
+    def hit(mask: str) -> np.ndarray:
+        chosen = [k for k, c in enumerate(mask) if c == "1"]
+        return np.any([equal[:, [p + k for k in chosen]].all(1) for p in range(window - len(mask) + 1)], 0) if len(mask) <= window else np.zeros(len(equal), bool)
+
+    out = list(MASKS)
+    left = ~np.any([hit(m) for m in MASKS], 0)
+    weight = max(1, min(6, 2 * (window - wrong) // 3))
+    tried = ["".join("1" if k in (0, *c) else "0" for k in range(max((0, *c)) + 1)) for c in combinations(range(1, window), weight - 1)]
+    hits = np.stack([hit(m) for m in tried]) if left.any() else None
+    while left.any():
+        k = int((hits & left).sum(1).argmax())
+        out.append(tried[k])
+        left &= ~hits[k]
+    return tuple(out)
+
+
 class Index(NamedTuple):
     """The items' seeds, sorted by hash within each mask, and the items' words."""
 
+    masks: list[str]
     hashes: list[np.ndarray]
     items: list[np.ndarray]
     places: list[np.ndarray]
@@ -82,15 +116,18 @@ class Index(NamedTuple):
     ids: pa.Array
 
 
-def index(ids: pa.Array, column: pa.Array, fewest: int) -> Index:
+def index(ids: pa.Array, column: pa.Array, fewest: int, window: int, agree: float) -> Index:
     """Items of fewer than ``fewest`` words prove nothing and are left out."""
     words, bounds = hashed(column)
     parts: tuple[list, list, list, list] = ([], [], [], [])
-    for mask in MASKS:
+    sizes = np.diff(bounds)
+    suits = {n: masks(min(n, window), agree) for n in {min(int(n), window) for n in sizes if n >= max(fewest, 1)}}
+    used = list(dict.fromkeys(m for ms in suits.values() for m in ms))
+    for mask in used:
         h, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(ids)):
             own = words[bounds[k] : bounds[k + 1]]
-            if len(own) >= fewest:
+            if mask in suits.get(min(len(own), window), ()) and len(own) >= fewest:
                 h.append(seeds(own, mask))
                 item.append(np.full(len(h[-1]), k))
                 place.append(np.arange(len(h[-1])))
@@ -100,7 +137,7 @@ def index(ids: pa.Array, column: pa.Array, fewest: int) -> Index:
         bitmap[joined >> np.uint64(64 - BITS)] = True
         for part, x in zip(parts, (joined[order], np.concatenate(item)[order], np.concatenate(place)[order], bitmap), strict=True):
             part.append(x)
-    return Index(*parts, words, bounds, ids)
+    return Index(used, *parts, words, bounds, ids)
 
 
 def overlap(a: np.ndarray, b: np.ndarray, window: int, agree: float) -> tuple[int, int, int] | None:
@@ -121,7 +158,7 @@ def found(ix: Index, words: np.ndarray, bounds: np.ndarray, window: int, agree:
     """``text, item, first word, words, equal words`` of each verified overlap, the best of a text and item."""
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     seen: list[np.ndarray] = []
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate(ix.masks):
         h = seeds(words, mask)
         at = np.flatnonzero(ix.bitmaps[k][h >> np.uint64(64 - BITS)])
         at = at[text[at] == text[at + len(mask) - 1]]
@@ -166,7 +203,7 @@ def contaminated(
         ids, column = got.column("id").combine_chunks(), got.column("text").combine_chunks().cast(pa.string())
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-        held = spark.sparkContext.broadcast(index(ids, column, fewest))
+        held = spark.sparkContext.broadcast(index(ids, column, fewest, window, agree))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = held.value

@@ -1,15 +1,17 @@
 """Decontamination, duplicates, quality and the pipeline against brute force and known cases."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import graph, near_dups, quality_model, suffix_dedup
+from quarry.llm import decontaminate, graph, near_dups, quality_model, suffix_dedup
 from quarry.llm.decontaminate import contaminated
 from quarry.llm.quality_rules import COUNTS, counted, quality_rules
 
@@ -51,6 +53,16 @@ def test_contaminated(spark):
     assert contaminated(df.limit(0), bench).collect() == [] and contaminated(df, bench.limit(0)).collect() == []
 
 
+def test_no_allowed_substitution_is_missed():
+    for n in range(8, 17):
+        item = [f"w{k}" for k in range(n)]
+        ix = decontaminate.index(pa.array([1]), pa.array([" ".join(item)]), 8, 13, 0.75)
+        size = min(n, 13)
+        wrong = size - -(-3 * size // 4)
+        shown = [" ".join(f"x{k}" if k in c else w for k, w in enumerate(item[:size])) for c in itertools.combinations(range(size), wrong)]
+        assert len(list(decontaminate.found(ix, *decontaminate.hashed(pa.array(shown)), 13, 0.75))) == len(shown)
+
+
 # --- graph ---
 
 
