@@ -26,10 +26,12 @@ PAGES, EPOCHS, HIDDEN = 480, 14, 20
 PATH_DIMS, WORD_DIMS, RATES = 96, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + RATES
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"""
     r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<""",
     re.I | re.S,
 )
+#: Elements without text of the page; one that isn't closed loses its tag only.
+SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("template", "noscript", "svg")}
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +46,23 @@ class Block(NamedTuple):
     linked: int
 
 
+def tokens(page: str) -> Iterator[re.Match]:
+    """The page's tokens outside of skipped elements."""
+    at: int | None = 0
+    unclosed: set[str] = set()
+    while at is not None:
+        start, at = at, None
+        for m in TOKEN.finditer(page, start):
+            tag = (m[3] or "").lower()
+            if tag not in SKIPPED:
+                yield m
+            elif not m[2] and tag not in unclosed and not (tag == "svg" and m[4].endswith("/")):
+                if end := SKIPPED[tag].search(page, m.end()):
+                    at = end.end()
+                    break
+                unclosed.add(tag)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's non-empty leaf blocks in order, character references decoded, white space made single."""
     out: list[Block] = []
@@ -69,7 +88,7 @@ def blocks(page: str) -> list[Block]:
         inside -= sum(t == "a" for t, _ in stack[k:])
         del stack[k:]
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         tag = m[3]
         if tag is None:
             t = m[0]

@@ -105,6 +105,14 @@ def test_html_blocks():
         html_text.blocks(odd)
 
 
+@pytest.mark.parametrize(
+    "lead",
+    ['<header><svg-icon name="x"></svg-icon></header>', "<template-card></template-card>", "<style-guide></style-guide>", '<a><svg class="i"/></a>', "<svg><path>", "<noscript>", "<template>", "<svg/><svg><text>no</text></svg>", "<SVG a='>'>no</svg ><svg>"],
+)
+def test_skipped_elements_end_where_they_should(lead):
+    assert [b.text for b in html_text.blocks(f"{lead}<article><p>Main text</p></article>")] == ["Main text"]
+
+
 def test_labeller_on_pages_it_has_not_seen():
     net = html_text.trained()
     r = np.random.default_rng(1234)
