@@ -28,7 +28,7 @@ TYPES = {"string": "^STRING", "integer": "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\
 def parsed(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """Messages with what their text holds: tools, calls, or a result."""
     df = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    df = df.withColumn("_v", F.when(F.col("role").isin("system", "assistant", "tool") & F.ltrim("text").startswith("{"), F.expr("try_parse_json(text)")))
+    df = df.withColumn("_v", F.when(F.col("role").isin("system", "assistant", "tool") & F.ltrim("text", F.lit(" \t\r\n")).startswith("{"), F.expr("try_parse_json(text)")))
     return df.withColumns({
         "_tools": F.when(F.col("role") == "system", F.expr("try_variant_get(_v, '$.tools', 'array<struct<name:string,parameters:variant>>')")),
         "_calls": F.when(F.col("role") == "assistant", F.expr(f"try_variant_get(_v, '$.tool_calls', 'array<{CALL}>')")),

@@ -206,3 +206,10 @@ def test_chat(spark):
     for r in got:
         assert json.dumps(json.loads(r["json"]), sort_keys=True, separators=(",", ":"), ensure_ascii=False) == r["json"]
     assert chat_format(df.limit(0)).collect() == []
+
+
+def test_chat_json_behind_white_space(spark):
+    lead = "\n\t\r "
+    rows = [(1, 0, "system", lead + '{"tools": [{"name": "f", "parameters": {}}]}'), (1, 1, "assistant", lead + '{"tool_calls": [{"id": "a", "name": "f", "arguments": {}}]}'), (1, 2, "tool", lead + '{"tool_call_id": "a", "content": 1}')]
+    got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r["kind"], r["status"]) for r in got) == [("call", "ok"), ("message", "ok"), ("result", "ok")]
