@@ -36,26 +36,47 @@ def parsed(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str
     })
 
 
+#: Keywords of a schema that constrain nothing.
+NOTES = ["title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment"]
+
+
 def wrong_arguments(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """``conv_id, call_id, problems`` of calls whose tool is declared and whose arguments don't suit it."""
+    """``conv_id, call_id, problems, unread``: where a call's arguments don't suit its tool, and the keywords of the schema that aren't judged.
+
+    Judged are ``required``, ``additionalProperties`` true or false (false if absent) and each argument's ``type`` (one or a
+    list), ``enum`` and ``const``; nested properties, items, ranges, patterns and whatever else are not.
+    """
+    listed = lambda *more: "array(" + ", ".join(f"'{k}'" for k in (*NOTES, *more)) + ")"
+    keywords = "filter(map_keys({}), k -> NOT array_contains({}, k))"
+    values = "try_variant_get(p.value, '$', 'map<string,variant>')"
+    properties = f"""transform(map_entries(coalesce(try_variant_get(t.parameters, '$.properties', 'map<string,variant>'), map())), p -> struct(p.key AS key,
+        filter(coalesce(try_variant_get(p.value, '$.type', 'array<string>'), array(try_variant_get(p.value, '$.type', 'string'))), x -> x IS NOT NULL) AS types,
+        transform(try_variant_get(p.value, '$.enum', 'array<variant>'), x -> coalesce(to_json(x), 'null')) AS enum, to_json(try_variant_get(p.value, '$.const', 'variant')) AS const,
+        coalesce({keywords.format(values, listed("type", "enum", "const"))}, array('schema')) AS others))"""
+    declared = "coalesce(try_variant_get(t.parameters, '$', 'map<string,variant>'), map())"
     schema = tools.select("conv_id", F.explode("_tools").alias("t")).select(
-        "conv_id", F.col("t.name").alias("name"), F.expr("coalesce(try_variant_get(t.parameters, '$.required', 'array<string>'), array())").alias("required"),
-        F.expr("coalesce(try_variant_get(t.parameters, '$.properties', 'map<string,struct<type:string>>'), map())").alias("properties"),
-    ).groupBy("conv_id", "name").agg(F.max_by(F.struct("required", F.map_entries("properties").alias("properties")), F.struct(F.size("properties"), F.array_join("required", ","))).alias("s"))
+        "conv_id", F.col("t.name").alias("name"), F.expr("coalesce(try_variant_get(t.parameters, '$.required', 'array<string>'), array())").alias("required"), F.expr(properties).alias("properties"),
+        F.expr(keywords.format(declared, listed("type", "properties", "required", "additionalProperties"))).alias("others"),
+        F.expr("to_json(try_variant_get(t.parameters, '$.additionalProperties', 'variant'))").alias("further"),
+    ).groupBy("conv_id", "name").agg(F.max_by(F.struct("required", "properties", "others", "further"), F.struct(F.size("properties"), F.array_join("required", ","))).alias("s"))
     known = calls.where("_args IS NOT NULL").join(schema, ["conv_id", "name"], "left")
     given = known.select("conv_id", "call_id", "name", "s", F.expr("try_variant_get(_args, '$', 'map<string,variant>')").alias("given"))
-    given = given.withColumn("wanted", F.expr("map_from_entries(transform(s.properties, p -> struct(p.key, p.value.type)))"))
-    pattern = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    given = given.withColumn("_patterns", pattern)
+    given = given.withColumn("_patterns", F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]))
     missing = "filter(s.required, k -> NOT map_contains_key(given, k))"
-    kind = "schema_of_variant(e.value)"
-    ref = "try_variant_get(e.value, '$[\"$ref\"]', 'string') IS NOT NULL"
-    wrong = f"transform(filter(map_entries(given), e -> try_element_at(_patterns, try_element_at(wanted, e.key)) IS NOT NULL AND NOT ({ref}) AND NOT ({kind} rlike try_element_at(_patterns, try_element_at(wanted, e.key)))), e -> e.key)"
-    extra = "filter(map_keys(given), k -> NOT map_contains_key(wanted, k))"
+    value = "try_element_at(given, p.key)"
+    judged = f"filter(s.properties, p -> map_contains_key(given, p.key) AND try_variant_get({value}, '$[\"$ref\"]', 'string') IS NULL)"
+    known_types = "size(p.types) > 0 AND forall(p.types, x -> map_contains_key(_patterns, x))"
+    kind = f"transform(filter({judged}, p -> {known_types} AND NOT exists(p.types, x -> schema_of_variant({value}) rlike try_element_at(_patterns, x))), p -> 'type of ' || p.key)"
+    other = f"transform(filter({judged}, p -> NOT coalesce(array_contains(p.enum, coalesce(to_json({value}), 'null')), true) OR NOT coalesce(p.const = coalesce(to_json({value}), 'null'), true)), p -> 'value of ' || p.key)"
+    extra = "filter(map_keys(given), k -> NOT exists(s.properties, p -> p.key = k))"
+    unread = f"""concat(s.others, flatten(transform({judged}, p -> transform(concat(p.others, transform(filter(p.types, x -> NOT map_contains_key(_patterns, x)), x -> 'type')), k -> k || ' of ' || p.key))),
+        CASE WHEN coalesce(s.further, 'false') NOT IN ('true', 'false') THEN transform({extra}, k -> 'additionalProperties of ' || k) ELSE array() END)"""
     return given.select(
         "conv_id", "call_id",
         F.expr(f"""CASE WHEN s IS NULL THEN array('undeclared tool') WHEN given IS NULL THEN array('arguments are no object')
-            ELSE array_sort(concat(transform({missing}, k -> 'missing ' || k), transform({wrong}, k -> 'type of ' || k), transform({extra}, k -> 'unknown ' || k))) END""").alias("problems"),
+            ELSE array_sort(concat(transform({missing}, k -> 'missing ' || k), {kind}, {other},
+                CASE WHEN coalesce(s.further, 'false') = 'false' THEN transform({extra}, k -> 'unknown ' || k) ELSE array() END)) END""").alias("problems"),
+        F.expr(f"CASE WHEN given IS NOT NULL AND s IS NOT NULL THEN {unread} ELSE array() END").alias("unread"),
     )
 
 
@@ -92,7 +113,7 @@ def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     ``conv_id, turn, role, kind`` (message, call, result), ``call_id, at_turn, level, part`` (sorting a conversation
     by ``at_turn, level, part, turn, json`` is a topological order: a result stands behind its call, whatever its own turn),
     ``status`` and ``json``, the canonical form: keys sorted, no white space.  Status is ``ok``; for calls
-    ``unanswered``, ``duplicate id``, ``cyclic`` or ``invalid: ...``; for results ``no call`` or ``repeated``.
+    ``unanswered``, ``duplicate id``, ``cyclic``, ``invalid: ...`` or ``not validated: ...`` (keywords of the schema that aren't judged); for results ``no call`` or ``repeated``.
 
     Broken JSON is plain text.  Nulls stay null: a null text is a message without content, a null
     turn sorts first, and null conversation or call ids are never linked.  Repeated rows stay repeated.
@@ -111,7 +132,7 @@ def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     counted = calls.groupBy("conv_id", "call_id").agg(F.count("*").alias("_same"), F.min(F.struct("turn", "part")).alias("_at"))
     answers = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("_answers"), F.min("turn").alias("_first"))
-    problems = wrong_arguments(calls, tools).groupBy("conv_id", "call_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("problems")))).alias("problems"))
+    problems = wrong_arguments(calls, tools).groupBy("conv_id", "call_id").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("problems", "unread")])
     ranked = levels(calls)
     key = ["conv_id", "call_id"]
     linked = counted.join(answers, key, "left").join(problems, key, "left").join(ranked, key, "left")
@@ -119,7 +140,7 @@ def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     made = own.join(linked, key, "left").select(
         "conv_id", "turn", "role", F.lit("call").alias("kind"), "call_id", F.col("turn").alias("at_turn"), F.coalesce("level", F.lit(0)).alias("level"), "part",
         F.expr("""CASE WHEN call_id IS NULL THEN 'no id' WHEN _same > 1 THEN 'duplicate id' WHEN level IS NULL THEN 'cyclic'
-            WHEN size(problems) > 0 THEN 'invalid: ' || array_join(problems, '; ') WHEN _answers IS NULL THEN 'unanswered' ELSE 'ok' END""").alias("status"), "json",
+            WHEN size(problems) > 0 THEN 'invalid: ' || array_join(problems, '; ') WHEN size(unread) > 0 THEN 'not validated: ' || array_join(unread, '; ') WHEN _answers IS NULL THEN 'unanswered' ELSE 'ok' END""").alias("status"), "json",
     )
     back = results.join(counted, key, "left").join(answers, key, "left").join(ranked, key, "left").select(
         "conv_id", "turn", "role", F.lit("result").alias("kind"), "call_id", F.coalesce("_at.turn", "turn").alias("at_turn"), F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("_at.part", F.lit(0)).alias("part"),

@@ -213,3 +213,14 @@ def test_chat_json_behind_white_space(spark):
     rows = [(1, 0, "system", lead + '{"tools": [{"name": "f", "parameters": {}}]}'), (1, 1, "assistant", lead + '{"tool_calls": [{"id": "a", "name": "f", "arguments": {}}]}'), (1, 2, "tool", lead + '{"tool_call_id": "a", "content": 1}')]
     got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r["kind"], r["status"]) for r in got) == [("call", "ok"), ("message", "ok"), ("result", "ok")]
+
+
+def test_chat_schemas(spark):
+    tool = lambda name, more=None, **p: {"name": name, "parameters": {"type": "object", "properties": p, **(more or {})}}
+    tools = [tool("f", e={"enum": ["a", 1, None]}, c={"const": "x"}, t={"type": ["string", "null"]}), tool("g", {"additionalProperties": True}), tool("n", o={"type": "object", "properties": {"k": {"type": "string"}}}, r={"type": "integer", "minimum": 3})]
+    calls = [("f", {"e": "a", "c": "x", "t": None}), ("f", {"e": 1, "t": "s"}), ("f", {"e": "b"}), ("f", {"c": "y"}), ("f", {"t": 1}), ("f", {"e": None}), ("g", {"q": 1}), ("n", {"o": {"k": 1}, "r": 1}), ("n", {}), ("n", {"r": "x"}), ("n", {"r": {"$ref": "0"}})]
+    rows = [(1, 0, "system", json.dumps({"tools": tools})), (1, 1, "assistant", json.dumps({"tool_calls": [{"id": str(k), "name": n, "arguments": a} for k, (n, a) in enumerate(calls)]}))]
+    rows += [(1, 2 + k, "tool", json.dumps({"tool_call_id": str(k)})) for k in range(len(calls))]
+    got = chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    want = ["ok", "ok", "invalid: value of e", "invalid: value of c", "invalid: type of t", "ok", "ok", "not validated: minimum of r; properties of o", "ok", "invalid: type of r", "ok"]
+    assert [r["status"] for r in sorted(got, key=lambda r: int(r["call_id"]))] == want
