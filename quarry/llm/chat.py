@@ -16,6 +16,8 @@ gathered by conversation, so a conversation may be of any length.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def wrong_arguments(calls: DataFrame, tools: DataFrame) -> DataFrame:
     )
 
 
-def levels(calls: DataFrame, most: int = 10_000) -> DataFrame:
+def levels(calls: DataFrame) -> DataFrame:
     """``conv_id, call_id, level``: 0 without references, else one above the highest; null within or behind a cycle."""
     refs = calls.where("_args IS NOT NULL").select("conv_id", "call_id", F.explode(F.expr("regexp_extract_all(to_json(_args), '\"\\\\$ref\":(\"(?:[^\"\\\\\\\\]|\\\\\\\\.)*\")', 1)")).alias("q"))
     refs = refs.select("conv_id", "call_id", F.expr("try_variant_get(try_parse_json(q), '$', 'string')").alias("ref")).distinct()
@@ -91,7 +93,7 @@ def levels(calls: DataFrame, most: int = 10_000) -> DataFrame:
     every = stored(every, "calls")
     done = stored(every.join(refs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "call-levels")
     size = done.count()
-    for k in range(1, most):
+    for k in count(1):
         met = refs.join(done.select("conv_id", F.col("call_id").alias("ref"), F.lit(1).alias("met")), ["conv_id", "ref"], "left")
         ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("met").alias("m")).where("n = m").drop("n", "m")
         done = stored(done.unionByName(ready.join(done, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k))), "call-levels")
