@@ -1,14 +1,14 @@
-"""Removal of repeated strings by a logarithmic family of sparse suffix arrays.
+"""Removal of repeated strings by fingerprints of sampled suffixes, counted in a logarithmic family of levels.
 
 A byte goes if some ``length``-byte string over it also starts elsewhere.  Suffixes are sampled by content: the
 anchor of a ``length``-byte window is the leftmost smallest hash among its places with at least ``core``
 bytes to come, so equal windows have their anchors at the same offset, and the consecutive windows
-with one anchor, a *run*, lie in one stretch of text.  An entry of a suffix array is an anchor: the
-fingerprint of the ``core`` bytes of its suffix, by which arrays are ordered and
-merged, and the digest of its whole stretch.
+with one anchor, a *run*, lie in one stretch of text.  An entry is an anchor: the
+fingerprint of the ``core`` bytes of its suffix, by which a level is grouped, and the digest of its whole
+stretch.  Levels are not sorted.
 
-Documents come in batches.  A batch's array is merge-scanned against itself and every level for
-fingerprints met before; levels of equal rank are then merged into the next, so an entry is
+Documents come in batches.  A batch's fingerprints are grouped with those of every level to find the ones
+met before; levels of equal rank are then merged into the next, so an entry is
 rewritten once a doubling.  Only matched entries go on: stretches that are equal as a whole repeat
 in all their windows, and the other stretches behind a fingerprint are compared window by window at
 equal offsets.  Windows are compared by two 64-bit polynomial hashes, stretches by a 128-bit digest.
