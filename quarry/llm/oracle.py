@@ -4,7 +4,7 @@ Tokenizers and learned models (2, 3, 5, 6) can't be; chat formatting is told for
 """
 
 from quarry.llm.decontaminate import MASKS
-from quarry.llm.quality_rules import GRID, SPREAD
+from quarry.llm.quality_rules import CONSISTENCY, ESTIMATE, FINE, GRID, SPREAD
 
 SQL: dict[str, str] = {}
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -100,39 +100,44 @@ FROM best x JOIN d ON d.r = x.d JOIN b ON b.r = x.b
 """
 
 
-def quality_sql(cutoff: float = 40.0, share: float = 0.75, steps: int = 2, least: int = 60, fewest: int = 12) -> str:
-    """The quality rules' counts, groups, concentration steps and verdict."""
-    names = list(SPREAD)
-    solved = []
-    for i, x in enumerate(names):
-        minus = "".join(f" - l_{i}{j} * y{j}" for j in range(i))
-        solved.append(f"(p.{x} - m_{x}{minus}) / l_{i}{i}")
-    nested = "SELECT p.*, e.* EXCLUDE (g) FROM {rows} p {join} JOIN {estimate} e ON e.g IS NOT DISTINCT FROM p.g"
-    for i, y in enumerate(solved):
-        nested = f"SELECT p.*, {y} AS y{i} FROM ({nested}) p"
-    total = " + ".join(f"y{i} * y{i}" for i in range(len(names)))
-
-    def measured(rows: str, estimate: str, join: str) -> str:
-        body = nested.replace("{rows}", rows).replace("{estimate}", estimate).replace("{join}", join)
-        extra = ", ".join([*[f"y{i}" for i in range(len(names))], *[f"m_{x}" for x in names], *[f"l_{i}{j}" for i in range(len(names)) for j in range(i + 1)]])
-        return f"SELECT * EXCLUDE ({extra}), {total} AS d FROM ({body})"
-
-    def estimate(name: str, measured_rows: str, consistency: float) -> list[str]:
-        sums = ", ".join([f"sum({x})::DOUBLE AS s_{x}" for x in names] + [f"sum({x} * {y})::DOUBLE AS s_{x}{y}" for k, x in enumerate(names) for y in names[: k + 1]])
-        near = f"{name}_near AS (SELECT g, {', '.join(names)}, CAST(least(round(d * 100), 2000000) AS INT) AS d FROM ({measured_rows}))"
-        edge = f"{name}_edge AS (SELECT g, quantile_cont(d, {share}) AS edge FROM {name}_near GROUP BY g)"
-        held = f"{name}_sums AS (SELECT n.g, count(*)::DOUBLE AS n, {sums} FROM {name}_near n JOIN {name}_edge e ON e.g IS NOT DISTINCT FROM n.g WHERE n.d <= e.edge GROUP BY n.g)"
-        got = f"SELECT *, {', '.join(f's_{x} / n AS m_{x}' for x in names)} FROM {name}_sums"
+def quality_sql(cutoff: float = 40.0, weigh: float = 30.0, prior: float = 50.0, steps: int = 8) -> str:
+    """The quality rules' counts, groups, concentration (which has stopped after ``steps`` steps) and verdict."""
+    names, n = list(SPREAD), len(SPREAD)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    columns = ", ".join(ESTIMATE)
+
+    def measured(rows: str, estimate: str, join: str = "", more: str = "") -> str:
+        body = f"SELECT p.*, e.* EXCLUDE (g) FROM {rows} p {join} JOIN {estimate} e ON e.g = p.g"
         for i, x in enumerate(names):
-            for j, y in enumerate(names[: i + 1]):
-                v = f"(s_{x}{y} - s_{x} * s_{y} / n) / n * {consistency}::DOUBLE" + (f" + {SPREAD[x] ** 2}::DOUBLE" if i == j else "")
-                v += "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j))
-                got = f"SELECT *, {f'sqrt({v})' if i == j else f'({v}) / l_{j}{j}'} AS l_{i}{j} FROM ({got})"
-        columns = ", ".join([*[f"m_{x}" for x in names], *[f"l_{i}{j}" for i in range(len(names)) for j in range(i + 1)]])
-        return [near, edge, held, f"{name} AS (SELECT g, {columns} FROM ({got}))"]
-
-    z = [f"((p.{x} - m_{x}) / greatest(0.7413::DOUBLE * s_{x}, {SPREAD[x]}::DOUBLE))" for x in names]
-    start = f"SELECT p.*, {' + '.join(f'{a} * {a}' for a in z)} AS d FROM pool p JOIN middle m ON m.g IS NOT DISTINCT FROM p.g JOIN wide w ON w.g IS NOT DISTINCT FROM p.g"
+            minus = "".join(f" - l_{i}{j} * y{j}" for j in range(i))
+            body = f"SELECT p.*, (p.{x} - m_{x}{minus}) / l_{i}{i} AS y{i} FROM ({body}) p"
+        return f"SELECT * EXCLUDE ({', '.join(f'y{i}' for i in range(n))}, {columns}{more}), {' + '.join(f'y{i} * y{i}' for i in range(n))} AS d FROM ({body})"
+
+    def moments(rows: str, by: str) -> str:
+        sums = ", ".join([f"sum({x})::DOUBLE AS s_{x}" for x in names] + [f"sum({names[i]} * {names[j]})::DOUBLE AS s_{i}{j}" for i, j in pairs])
+        got = [f"s_{x} / n AS m_{x}" for x in names] + [f"(s_{i}{j} - s_{names[i]} * s_{names[j]} / n) / n AS v_{i}{j}" for i, j in pairs]
+        return f"SELECT {by}, n, {', '.join(got)} FROM (SELECT {by}, count(*)::DOUBLE AS n, {sums} FROM {rows} GROUP BY {by})"
+
+    def factored(got: str, factor: float, by: str) -> str:
+        for i, j in pairs:
+            v = f"v_{i}{j} * {factor}::DOUBLE" + (f" + {SPREAD[names[i]] ** 2}::DOUBLE" if i == j else "") + "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j))
+            got = f"SELECT *, {f'sqrt({v})' if i == j else f'({v}) / l_{j}{j}'} AS l_{i}{j} FROM ({got})"
+        return f"SELECT {by}, {columns}, {' + '.join(f'ln(l_{i}{i})' for i in range(n))} AS det FROM ({got})"
+
+    def half(name: str, rows: str) -> list[str]:
+        near = f"{name}_near AS (SELECT * EXCLUDE (d), CAST(round({FINE} * ln(1 + least(d, 1e9))) AS INT) AS d FROM ({rows}))"
+        edge = f"{name}_edge AS (SELECT g, start, quantile_cont(d, 0.5) AS edge FROM {name}_near GROUP BY g, start)"
+        held = f"(SELECT n.* FROM {name}_near n JOIN {name}_edge e ON e.g = n.g AND e.start = n.start WHERE n.d <= e.edge)"
+        return [near, edge, f"{name} AS ({factored(moments(held, 'g, start'), CONSISTENCY, 'g, start')})"]
+
+    def drawn(own: str, above: str) -> str:
+        both = [f"(a.n * a.{c} + {prior}::DOUBLE * b.{c}) / (a.n + {prior}::DOUBLE) AS {c}" for c in [*[f"m_{x}" for x in names], *[f"v_{i}{j}" for i, j in pairs]]]
+        return f"SELECT a.g, {', '.join(both)} FROM ({own}) a JOIN ({above}) b ON b.g = a.up"
+
+    z = {x: f"((p.{x} - q_{x}[2]) / greatest((q_{x}[3] - q_{x}[1]) / 1.349::DOUBLE, {SPREAD[x]}::DOUBLE)) AS z_{x}" for x in names}
+    bounded = [f"(z_{x} / (1 + abs(z_{x})))" for x in names]
+    starts = [" + ".join(f"z_{x} * z_{x}" for x in names), f"100 * ({' + '.join(f'{b} * {b}' for b in bounded)})", f"greatest(0.0::DOUBLE, {' + '.join(f'z_{x}' for x in names[1:])} + 100)"]
+    apart = " UNION ALL ".join(f"SELECT g, {', '.join(names)}, {k} AS start, {d} AS d FROM apart" for k, d in enumerate(starts))
     ctes = [
         "d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents)",
         rf"k AS (SELECT *, {WORDS.format('t')} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)",
@@ -142,23 +147,28 @@ def quality_sql(cutoff: float = 40.0, share: float = 0.75, steps: int = 2, least
         """c AS (SELECT k.r, doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(l) AS n_lines,
   len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words FROM k LEFT JOIN covered ON covered.r = k.r)""",
-        f"""x AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        f"""x AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
   CAST(round({GRID} * ln((word_chars + 100) / (n_words + 20))) AS BIGINT) AS x_word, CAST(round({GRID} * ln(1 + 10.0::DOUBLE * n_symbols / (n_words + 20))) AS BIGINT) AS x_symbol,
   CAST(round({GRID} * (n_dup_lines / (n_lines + 4))) AS BIGINT) AS x_line, CAST(round({GRID} * (n_upper / (word_chars + 100))) AS BIGINT) AS x_upper,
-  CAST(round({GRID} * (n_repeat_words / (n_words + 20))) AS BIGINT) AS x_repeat FROM c)""",
-        f"groups AS (SELECT lang, source, CASE WHEN count(*) >= {least} THEN [lang, source] ELSE [lang] END AS g FROM x WHERE NOT base_failed GROUP BY lang, source)",
-        "every AS (SELECT x.*, g FROM x LEFT JOIN groups q ON q.lang IS NOT DISTINCT FROM x.lang AND q.source IS NOT DISTINCT FROM x.source)",
-        "pool AS (SELECT * FROM every WHERE NOT base_failed)",
-        f"middle AS (SELECT g, {', '.join(f'quantile_cont({x}, 0.5) AS m_{x}' for x in names)}, count(*) AS size FROM pool GROUP BY g)",
-        f"wide AS (SELECT p.g, {', '.join(f'quantile_cont(round(2 * abs(p.{x} - m_{x})), 0.5) AS s_{x}' for x in names)} FROM pool p JOIN middle m ON m.g IS NOT DISTINCT FROM p.g GROUP BY p.g)",
-        *estimate("e0", start, 1.0),
+  CAST(round({GRID} * (n_repeat_words / (n_words + 20))) AS BIGINT) AS x_repeat, CAST(to_json([lang]) AS VARCHAR) AS up, CAST(to_json([lang, source]) AS VARCHAR) AS g FROM c)""",
+        "groups AS (SELECT DISTINCT g, up FROM x WHERE NOT base_failed)",
+        f"pool AS MATERIALIZED (SELECT unnest([g, up, 'all']) AS g, {', '.join(names)} FROM x WHERE NOT base_failed)",
+        f"middle AS (SELECT g, {', '.join(f'quantile_cont({x}, [0.25, 0.5, 0.75]) AS q_{x}' for x in names)} FROM pool GROUP BY g)",
+        f"apart AS MATERIALIZED (SELECT p.*, {', '.join(z.values())} FROM pool p JOIN middle m ON m.g = p.g)",
+        *half("e0", apart),
     ]
     for k in range(steps):
-        ctes += estimate(f"e{k + 1}", measured("pool", f"e{k}", ""), 1.45)
-    last = f"(SELECT e.* FROM e{steps} e JOIN middle m ON m.g IS NOT DISTINCT FROM e.g WHERE m.size >= {fewest})"
+        kept = ", ".join(f"CASE WHEN b.det < a.det - 1e-9 THEN b.{c} ELSE a.{c} END AS {c}" for c in [*ESTIMATE, "det"])
+        ctes += [*half(f"h{k + 1}", measured("pool", f"e{k}", more=", det")), f"e{k + 1} AS MATERIALIZED (SELECT a.g, a.start, {kept} FROM e{k} a JOIN h{k + 1} b ON b.g = a.g AND b.start = a.start)"]
+    languages = "SELECT o.*, 'all' AS up FROM own o WHERE g IN (SELECT up FROM groups)"
+    ctes += [
+        f"least AS (SELECT g, {columns} FROM e{steps} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1)",
+        f"own AS (SELECT * FROM ({moments('(SELECT * FROM (' + measured('pool', 'least') + f') WHERE d <= {weigh})', 'g')}))",
+        f"final AS ({factored(drawn('SELECT o.*, q.up FROM own o JOIN groups q ON q.g = o.g', drawn(languages, 'SELECT * FROM own')), 1.0, 'g')})",
+    ]
     return f"""WITH {', '.join(ctes)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d, 0) <= {cutoff} AS kept, round(d, 3) AS distance
-FROM ({measured('every', last, 'LEFT')})"""
+FROM ({measured('x', 'final', 'LEFT', ', det')})"""
 
 
 SQL["op7_quality_rules"] = quality_sql()

@@ -2,15 +2,18 @@
 
 Every text gets exact counts (words, symbols, repeated lines, words in repeated five-word
 windows).  Documents that fail the base rules go.  The others' counts become a vector of
-five transformed statistics, rates with pseudo-counts so that short texts don't scatter; for each language and
-source a minimum-covariance-determinant estimate is made by concentration steps, and vectors
-whose squared Mahalanobis distance exceeds ``cutoff`` are rejected.  The estimate rests on the nearest ``share``
-of a group; where a half-sample estimate finds that fewer rows than that fit, junk would be among them, and
-the half-sample estimate judges the group.
+five transformed statistics, rates with pseudo-counts so that short texts don't scatter.  Groups are each
+language and source, each language, and all documents.  A group's minimum-covariance-determinant estimate rests on
+its nearest half: from several starts, concentration steps go on until the determinant stops
+falling, the start with the least determinant counts, and the rows within ``weigh`` of it make the final
+mean and covariance.  These are drawn to the language's, and a language's to those of all documents, by
+``prior`` pseudo-rows; so a group of any size has an estimate by the same rule.  Vectors whose squared
+Mahalanobis distance exceeds ``cutoff`` are rejected.
 
 Statistics are rounded to an integer grid.  Sums over a subset are then exact in any order, so a
 task that runs again gives the same estimate; and an exact percentile needs a counter for each
-grid value only, however many rows a hot source has, and is combined before the shuffle.
+grid value only, however many rows a hot source has, and is combined before the shuffle.  Distances
+are ranked on a logarithmic grid of some hundred values for the same reason; ties are all in.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ GRID = 1000
 P = list(SPREAD)
 #: Groups up to which their estimates (a few hundred bytes each) are sent to every task; beyond, rows are joined by group.
 FEW_GROUPS = 20_000
-#: Shares of a half-sample fit with their consistency factors (five normal variables): of n rows the nearest (n + 6) / 2, rounded up to one of these.
-HALVES = {0.5: 1.91, 0.55: 1.79, 0.6: 1.68, 0.65: 1.59, 0.7: 1.5, 0.75: 1.41}
-#: Rows of a group, about, on which the starts of a half-sample fit are concentrated; the best goes on over all rows.
-TRIAL = 4000
+#: Makes the covariance of the nearest half of five normal variables that of all.
+CONSISTENCY = 1.91
+#: Steps of the distances' grid to a factor of e.
+FINE = 90
+ESTIMATE = [*[f"m_{x}" for x in P], *[f"l_{i}{j}" for i in range(len(P)) for j in range(i + 1)]]
+PAIRS = [(i, j) for i in range(len(P)) for j in range(i + 1)]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -81,133 +86,105 @@ def on_grid(df: DataFrame) -> DataFrame:
 
 def held(per_group: DataFrame, few: bool) -> DataFrame:
     """A table of one row a group, sent to every task where the groups were counted and are few; then no row moves to its group."""
-    return F.broadcast(per_group) if few else per_group
+    return F.broadcast(per_group) if few else stored(per_group, "mcd-groups")
 
 
-def subset(df: DataFrame, share: float, few: bool) -> DataFrame:
-    """Of each group the ``share`` nearest rows (ties included), by the distance ``_d``."""
-    near = F.least(F.round(F.col("_d") * 100), F.lit(2_000_000.0)).cast("int")  # far ones only have to be far
-    df = df.withColumn("_d", near)
-    edges = stored(df.groupBy("_g").agg(F.percentile("_d", F.lit(share)).alias("_edge")), "mcd-edges")
-    return df.join(held(edges, few), "_g").where("_d <= _edge").drop("_edge")
+def moments(rows: DataFrame, *by: str) -> DataFrame:
+    """``_n`` and the means and covariances of each group."""
+    sums = [F.count("*").alias("_n"), *[F.sum(x).cast("double").alias(f"_{x}") for x in P], *[F.sum(F.col(P[i]) * F.col(P[j])).cast("double").alias(f"_{i}{j}") for i, j in PAIRS]]
+    old = [F.max("_old").alias("_old")] if "_old" in rows.columns else []
+    got = rows.groupBy(*by).agg(*sums, *old)
+    covariances = [((F.col(f"_{i}{j}") - F.col(f"_{P[i]}") * F.col(f"_{P[j]}") / F.col("_n")) / F.col("_n")).alias(f"v_{i}{j}") for i, j in PAIRS]
+    return got.select(*by, "_n", *[(F.col(f"_{x}") / F.col("_n")).alias(f"m_{x}") for x in P], *covariances, *(["_old"] if old else []))
 
 
-def scatter(rows: DataFrame, consistency: float | Column) -> DataFrame:
-    """Mean and lower Cholesky factor of each group's regularised covariance; ``consistency`` is a number or a column that is the same for a group's rows."""
-    factor = consistency if isinstance(consistency, Column) else F.lit(consistency)
-    sums = [F.count("*").alias("_n"), F.max(factor).alias("_factor")] + [F.sum(x).cast("double").alias(f"_{x}") for x in P]
-    sums += [F.sum(F.col(x) * F.col(y)).cast("double").alias(f"_{x}{y}") for k, x in enumerate(P) for y in P[: k + 1]]
-    got = stored(rows.groupBy("_g").agg(*sums), "mcd-sums")
-    got = got.withColumns({f"m_{x}": F.col(f"_{x}") / F.col("_n") for x in P})
-    for i, x in enumerate(P):
-        for j, y in enumerate(P[: i + 1]):
-            v: Column = (F.col(f"_{x}{y}") - F.col(f"_{x}") * F.col(f"_{y}") / F.col("_n")) / F.col("_n") * F.col("_factor")
-            if i == j:
-                v = v + SPREAD[x] ** 2
-            for k in range(j):
-                v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
-            got = got.withColumn(f"l_{i}{j}", F.sqrt(v) if i == j else v / F.col(f"l_{j}{j}"))
-    return got.select("_g", *[f"m_{x}" for x in P], *[f"l_{i}{j}" for i in range(len(P)) for j in range(i + 1)])
-
-
-def distance() -> dict[str, Column]:
-    """Columns that solve ``L y = x - m``; the squared distance is the sum of their squares."""
-    out: dict[str, Column] = {}
+def factored(got: DataFrame, factor: float) -> DataFrame:
+    """``got`` with the lower Cholesky factor of each covariance, times ``factor`` and with the least spreads added, and the log determinant ``_det``."""
+    factors = []  # each refers to those before it in the same select
+    for i, j in PAIRS:
+        v: Column = F.col(f"v_{i}{j}") * F.lit(factor)
+        if i == j:
+            v = v + SPREAD[P[i]] ** 2
+        for k in range(j):
+            v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
+        factors.append((F.sqrt(v) if i == j else v / F.col(f"l_{j}{j}")).alias(f"l_{i}{j}"))
+    return got.select("*", *factors, sum((F.log(f"l_{i}{i}") for i in range(1, len(P))), F.log("l_00")).alias("_det"))
+
+
+def measured(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the squared distance ``_d`` to each estimate of their group: the sum of squares of the y that solve ``L y = x - m``."""
+    out = rows.join(held(estimate, few), "_g", how)
+    solved = []
     for i, x in enumerate(P):
         y = F.col(x) - F.col(f"m_{x}")
         for j in range(i):
             y = y - F.col(f"l_{i}{j}") * F.col(f"_y{j}")
-        out[f"_y{i}"] = y / F.col(f"l_{i}{i}")
-    return out
-
-
-def measured(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "left") -> DataFrame:
-    """``rows`` with the squared distance ``_d`` to their group's estimate."""
-    out = rows.join(held(estimate, few), "_g", how)
-    for name, y in distance().items():
-        out = out.withColumn(name, y)
+        solved.append((y / F.col(f"l_{i}{i}")).alias(f"_y{i}"))
     total = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, len(P))), F.col("_y0") * F.col("_y0"))
-    return out.withColumn("_d", total).drop(*estimate.drop("_g").columns, *distance())
+    return out.select("*", *solved, total.alias("_d")).drop(*ESTIMATE, *[f"_y{i}" for i in range(len(P))])
 
 
-def halved(df: DataFrame, few: bool) -> DataFrame:
-    """Mean, factor and log determinant ``_det`` of each group's nearest half, by the distance ``_d`` (ties included)."""
-    df = df.withColumn("_d", F.least(F.round(F.col("_d") * 100), F.lit(2_000_000.0)).cast("int"))
-    edges = df.groupBy("_g").agg(F.percentile("_d", F.array(*map(F.lit, HALVES))).alias("_e"), F.count("*").alias("_n"))
-    shares, factors = (f"array({', '.join(f'{x}D' for x in xs)})" for xs in (HALVES, HALVES.values()))
-    edges = edges.withColumn("_k", F.expr(f"least(size(filter({shares}, s -> s < (_n + {len(P) + 1}) / (2 * _n))), {len(HALVES) - 1})"))
-    edges = stored(edges.select("_g", F.expr("_e[_k]").alias("_edge"), F.expr(f"{factors}[_k]").alias("_c")), "mcd-edges")
-    got = scatter(df.join(held(edges, few), "_g").where("_d <= _edge"), F.col("_c"))
-    return got.withColumn("_det", sum((F.log(f"l_{i}{i}") for i in range(1, len(P))), F.log("l_00")))
+def nearest_half(df: DataFrame, few: bool) -> DataFrame:
+    """The estimate of each group's and start's nearest half, by the distance ``_d``."""
+    df = df.withColumn("_d", F.round(FINE * F.log1p(F.least("_d", F.lit(1e9)))).cast("int"))
+    edges = df.groupBy("_g", "_start").agg(F.percentile("_d", F.lit(0.5)).alias("_edge"))
+    near = df.join(held(edges, few), ["_g", "_start"]).where("_d <= _edge")
+    got = factored(moments(near, "_g", "_start"), CONSISTENCY)
+    return stored(got.select("_g", "_start", *ESTIMATE, "_det", *(["_old"] if "_old" in got.columns else [])), "mcd-half")
 
 
-def concentrated(rows: DataFrame, first: DataFrame, few: bool) -> DataFrame:
-    """From the estimates ``first``, concentration steps over ``rows`` until no group's determinant falls; each group's last one."""
-    seen = [moving := stored(first, "mcd-half")]
+def least_determinant(pool: DataFrame, few: bool) -> DataFrame:
+    """Of each group the estimate with the least determinant that concentration reaches from three starts.
+
+    The starts are the rows nearest to the medians by squares of interquartile ranges, by such with far values
+    bounded, and those with the lowest rates, where junk has high ones.
+    """
+    middle = stored(pool.groupBy("_g").agg(*[F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{x}") for x in P]), "mcd-middle")
+    z = [(F.col(x) - F.col(f"q_{x}")[1]) / F.greatest((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, F.lit(SPREAD[x])) for x in P]
+    apart = pool.join(held(middle, few), "_g").select("_g", *P, *[a.alias(f"z_{x}") for x, a in zip(P, z, strict=True)])
+    z = [F.col(f"z_{x}") for x in P]
+    bounded = [a / (1 + F.abs(a)) for a in z]
+    starts = [sum((a * a for a in z[1:]), z[0] * z[0]), 100 * sum((a * a for a in bounded[1:]), bounded[0] * bounded[0]), F.greatest(F.lit(0.0), sum(z[2:], z[1]) + 100)]
+    moving = nearest_half(apart.select("_g", *P, F.posexplode(F.array(*starts)).alias("_start", "_d")), few)
+    seen = [moving]
     while not moving.isEmpty():
-        new = halved(measured(rows, moving, few, "inner"), few)
-        both = new.withColumn("_now", F.lit(True)).unionByName(moving.withColumn("_now", F.lit(False)))
-        fell = both.groupBy("_g").agg(F.max_by(F.struct(*new.drop("_g").columns), "_now").alias("e"), F.max_by("_det", ~F.col("_now")).alias("_old"))
-        moving = stored(fell.where("e._det < _old - 1e-6").select("_g", "e.*"), "mcd-half")
+        new = nearest_half(measured(pool, moving.withColumnRenamed("_det", "_old"), few), few)
+        moving = new.where("_det < _old - 1e-9").drop("_old")
         seen.append(moving)
-    return least_determinant(reduce(DataFrame.unionByName, seen))
-
+    every = reduce(DataFrame.unionByName, seen)
+    return stored(every.groupBy("_g").agg(F.min_by(F.struct(*ESTIMATE), F.struct("_det", "_start")).alias("e")).select("_g", "e.*"), "mcd-least")
 
-def least_determinant(estimates: DataFrame) -> DataFrame:
-    """Of each group's estimates that with the least determinant."""
-    return stored(estimates.groupBy("_g").agg(F.min_by(F.struct(*estimates.drop("_g").columns), "_det").alias("e")).select("_g", "e.*"), "mcd-least")
 
-
-def half_sample(start: DataFrame, z: list[Column], sizes: DataFrame, few: bool) -> DataFrame:
-    """Each group's minimum-determinant estimate of half its rows, which holds with nearly half of them junk.
-
-    Three starts (nearest by squares, nearest with far values bounded, lowest rates) are concentrated on a
-    sample by row; that with the least determinant goes on over all rows.
-    """
-    bounded = sum((F.tanh(a) * F.tanh(a) for a in z[1:]), F.tanh(z[0]) * F.tanh(z[0]))
-    low = sum(z[2:], z[1])
-    starts = [F.col("_d"), 100 * bounded, 100 + low]
-    trial = start.join(held(sizes, few), "_g").where(f"pmod(_id, greatest(1L, _size div {TRIAL})) = 0")
-    trial = trial.select("_g", F.posexplode(F.array(*[x.cast("double") for x in starts])).alias("_start", "_d"), *P)
-    trial = stored(trial.withColumn("_g", F.to_json(F.struct("_start", "_g"))).drop("_start"), "mcd-trial")
-    tried = concentrated(trial.drop("_d"), halved(trial, few), few).withColumn("_g", F.get_json_object("_g", "$._g"))
-    rows = start.select("_g", *P)
-    return concentrated(rows, halved(measured(rows, least_determinant(tried), few), few), few)
+def drawn(own: DataFrame, above: DataFrame, prior: float) -> DataFrame:
+    """The moments of ``own`` drawn to those of ``above``, the groups ``_up``, by ``prior`` rows."""
+    names = [f"m_{x}" for x in P] + [f"v_{i}{j}" for i, j in PAIRS]
+    both = own.join(above.select(F.col("_g").alias("_up"), *[F.col(c).alias(f"u{c}") for c in names]), "_up")
+    return both.select("_g", *[((F.col("_n") * F.col(c) + prior * F.col(f"u{c}")) / (F.col("_n") + prior)).alias(c) for c in names])
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
-    cutoff: float = 40.0, share: float = 0.75, steps: int = 2, least: int = 60, fewest: int = 12,
+    cutoff: float = 40.0, weigh: float = 30.0, prior: float = 50.0,
 ) -> DataFrame:
-    """``doc_id``, the exact counts, ``base_failed`` and ``kept`` of every row.
+    """``doc_id``, the exact counts, ``base_failed``, ``kept`` and the ``distance`` of every row.
 
-    Sources of a language with fewer than ``least`` documents that pass the base rules share one
-    estimate; a group of fewer than ``fewest`` is kept whole.  Null texts count as empty and fail the base
-    rules; null languages and sources form groups of their own; repeated rows are judged alike; an empty table
-    gives an empty result.  Further columns aren't read.
+    Null texts count as empty and fail the base rules; null languages and sources form groups of their
+    own; repeated rows are judged alike; a text may be of any length; an empty table gives an empty
+    result.  Further columns aren't read, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("_lang"), F.col(source_col).cast("string").alias("_source"))
-    rows = stored(on_grid(counted(rows).drop("text")), "quality-counts")
+    rows = on_grid(counted(rows).drop("text"))
+    named = lambda *names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    rows = stored(rows.select("doc_id", *COUNTS, *P, named("_lang").alias("_up"), named("_lang", "_source").alias("_g")), "quality-counts")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    names = F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"})
-    per = rows.where("NOT base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("_n"))
-    groups = stored(per.select(names.alias("_k"), F.when(F.col("_n") >= least, names).otherwise(F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"})).alias("_g")), "mcd-groups")
-    few = groups.count() <= FEW_GROUPS
-    rows = rows.withColumn("_k", names).join(held(groups, few), "_k", "left").drop("_k", "_lang", "_source")
-    pool = rows.where("NOT base_failed").select("_g", *P, F.xxhash64("doc_id", *P).alias("_id"))
-
-    middle = stored(pool.groupBy("_g").agg(*[F.percentile(x, F.lit(0.5)).alias(f"m_{x}") for x in P], F.count("*").alias("_size")), "mcd-middle")
-    apart = pool.join(held(middle, few), "_g")
-    wide = stored(apart.groupBy("_g").agg(*[F.percentile(F.round(2 * F.abs(F.col(x) - F.col(f"m_{x}"))), F.lit(0.5)).alias(f"s_{x}") for x in P]), "mcd-wide")
-    z = [(F.col(x) - F.col(f"m_{x}")) / F.greatest(0.7413 * F.col(f"s_{x}"), F.lit(SPREAD[x])) for x in P]
-    start = apart.join(held(wide, few), "_g").withColumn("_d", sum((a * a for a in z[1:]), z[0] * z[0])).select("_g", *P, "_id", "_d", *[a.alias(f"z_{x}") for x, a in zip(P, z, strict=True)])
-    estimate = scatter(subset(start, share, few), 1.0)
-    for _ in range(steps):
-        estimate = scatter(subset(measured(pool, estimate, few), share, few), 1.45)
-    half = half_sample(start, [F.col(f"z_{x}") for x in P], middle.select("_g", "_size"), few).drop("_det")
-    junk = measured(pool, half, few).groupBy("_g").agg(F.avg((F.col("_d") <= cutoff).cast("int")).alias("_fit"))
-    junk = stored(junk.where(F.col("_fit") < share).select("_g"), "mcd-junk")
-    estimate = estimate.join(held(junk, few), "_g", "left_anti").unionByName(half.join(held(junk, few), "_g", "left_semi"))
-    estimate = estimate.join(held(middle.where(F.col("_size") >= fewest).select("_g"), few), "_g", "left_semi")
-    out = measured(rows, estimate, few)
+    pool = rows.where("NOT base_failed")
+    groups = stored(pool.select("_g", "_up").distinct(), "mcd-names")
+    few = 2 * groups.count() <= FEW_GROUPS
+    pool = pool.select(F.explode(F.array(F.col("_g"), F.col("_up"), F.lit("all"))).alias("_g"), *P)
+    near = measured(pool, least_determinant(pool, few), few).where(F.col("_d") <= weigh)
+    own = stored(moments(near, "_g"), "mcd-moments")
+    top = own.where("_g = 'all'")
+    language = drawn(own.join(groups.select(F.col("_up").alias("_g")).distinct(), "_g").withColumn("_up", F.lit("all")), top, prior)
+    estimate = stored(factored(drawn(own.join(groups, "_g"), language, prior), 1.0).select("_g", *ESTIMATE), "mcd-final")
+    out = measured(rows, estimate, few, "left")
     return out.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.coalesce("_d", F.lit(0.0)) <= cutoff)).alias("kept"), F.round("_d", 3).alias("distance"))
