@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, stored, texts
+from quarry.llm.common import chunks, row_key, stored, texts
 from quarry.llm.graph import Forest, components
 
 TABLES, BAND = 24, 4
@@ -121,7 +121,7 @@ def signatures(rows: DataFrame, size: int) -> DataFrame:
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"id {kind}, row long, n long, node binary, keys array<long>, bands binary")
+    return rows.mapInArrow(sign, f"id {kind}, row binary, n long, node binary, keys array<long>, bands binary")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words, null or empty, have no shingle and are linked with nothing.  A component's id is its smallest
     id that isn't null; rows that repeat that id are all kept.  Further columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
     signed = stored(signatures(rows, size), "signatures")
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("first"), F.min(F.struct("row", "n", "keys", "bands")).alias("s")).select("node", "first", "s.*")
     nodes = stored(nodes, "nodes")

@@ -5,6 +5,7 @@ Tokenizers and learned models (2, 3, 5, 6) can't be; chat formatting is told for
 
 from quarry.llm.decontaminate import MASKS
 from quarry.llm.quality_rules import CONSISTENCY, ESTIMATE, FINE, GRID, SPREAD
+from quarry.llm.suffix_dedup import SHORT
 
 SQL: dict[str, str] = {}
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -48,20 +49,33 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN d.do
 FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN c ON c.r = d.r
 """
 
-SQL["op4_suffix_dedup"] = """
+
+
+def repeated_runs(length: int, name: str) -> str:
+    """Maximal runs of bytes in repeated ``length``-byte strings: ``r, k, first, after``."""
+    return f"""{name}_all AS (SELECT r, i, md5(array_slice(b, i, i + {length - 1})) AS h FROM (SELECT r, b, unnest(range(1, n - {length - 2})) AS i FROM d WHERE n >= {length})),
+{name}_again AS (SELECT r, i FROM {name}_all QUALIFY count(*) OVER (PARTITION BY h) > 1),
+{name}_cut AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {length}, true) AS fresh FROM {name}_again),
+{name}_numbered AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM {name}_cut),
+{name} AS (SELECT r, k, min(i) AS first, max(i) + {length} AS after FROM {name}_numbered GROUP BY r, k)"""
+
+
+SQL["op4_suffix_dedup"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-p AS (SELECT r, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
-again AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY h) > 1),
-cut AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS fresh FROM again),
-numbered AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM cut),
-spans AS (SELECT r, k, min(i) AS first, max(i) + 400 AS after FROM numbered GROUP BY r, k),
+{repeated_runs(400, "spans")},
+{repeated_runs(SHORT, "short")},
 gaps AS (
   SELECT r, coalesce(lag(after) OVER (PARTITION BY r ORDER BY k), 1) AS first, first - 1 AS last FROM spans
   UNION ALL SELECT d.r, coalesce(max(after), 1), any_value(d.n) FROM d LEFT JOIN spans s ON s.r = d.r GROUP BY d.r),
 kept AS (SELECT g.r, coalesce(string_agg(hex(array_slice(d.b, g.first, g.last)), '' ORDER BY g.first) FILTER (g.last >= g.first), '') AS x FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r),
-sums AS (SELECT r, sum(after - first) AS removed, count(*) AS spans FROM spans GROUP BY r)
-SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
-FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r
+sums AS (SELECT r, sum(after - first) AS removed, count(*) AS spans FROM spans GROUP BY r),
+spelled AS (SELECT s.*, regexp_replace(hex(array_slice(d.b, first, after - 1)), '(..)', '\\1 ', 'g') AS x FROM short s JOIN d ON d.r = s.r),
+passages AS (
+  SELECT r, count(*) AS n, sum(after - first) AS bytes FROM spelled
+  WHERE len(list_filter(string_split(regexp_replace(x, '(20|09|0A|0B|0C|0D) ', '|', 'g'), '|'), lambda w: w <> '')) >= 51 GROUP BY r)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256,
+       coalesce(p.n, 0) AS n_passages, CAST(coalesce(p.bytes, 0) AS BIGINT) AS passage_bytes
+FROM d JOIN kept ON kept.r = d.r LEFT JOIN sums ON sums.r = d.r LEFT JOIN passages p ON p.r = d.r
 """
 
 

@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,7 +124,7 @@ def test_large_groups_are_compared_in_blocks(spark):
     r = random.Random(4)
     base = prose(r, 80, 5000)
     rows = [(k, edited(r, base, r.choice([0.02, 0.05, 0.1])) + " " + prose(r, r.randint(0, 30), 5000)) for k in range(150)]
-    df = spark.createDataFrame(rows, "id long, text string").withColumn("row", F.xxhash64("id", "text"))
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("row", F.encode(F.concat("id", F.lit("")), "UTF-8"))
     signed = near_dups.signatures(df, 2)
     members = signed.select("node", "row", "n", F.lit(b"one").alias("component"))
     node = {x["id"]: bytes(x["node"]) for x in signed.collect()}
@@ -151,6 +153,27 @@ def test_tensored_keys_find_pairs_at_the_threshold():
 # --- repeated strings ---
 
 
+def brute_passages(ts, short, words):
+    raw = [(t or "").encode() for t in ts]
+    count = Counter(b[i : i + short] for b in raw for i in range(len(b) - short + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - short + 1):
+            if count[b[i : i + short]] > 1:
+                gone[i : i + short] = True
+        runs, s = [], None
+        for i in range(len(b) + 1):
+            if gone[i] and s is None:
+                s = i
+            if not gone[i] and s is not None:
+                runs.append(b[s:i])
+                s = None
+        runs = [x for x in runs if len(x.split()) >= words]
+        out.append((len(runs), sum(map(len, runs))))
+    return out
+
+
 def brute_removed(ts, length):
     raw = [(t or "").encode() for t in ts]
     count = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
@@ -181,9 +204,11 @@ def test_suffix_dedup(spark, length, core, most):
     ts += [None, "", "x", ts[0], ts[0], shared[0][:length], "q" * (length - 1)]
     rows = [(k, t, 1) for k, t in enumerate(ts)] + [(0, ts[0], 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
-    got = Counter(tuple(x) for x in suffix_dedup.suffix_dedup(df, length=length, core=core, most=most).collect())
-    assert got == Counter((i, *x) for (i, _, _), x in zip(rows, brute_removed([t for _, t, _ in rows], length), strict=True))
-    assert sum(x[2] for x in got) > 0
+    own = [t for _, t, _ in rows]
+    short, words = length * 3 // 5, length // 10
+    got = Counter(tuple(x) for x in suffix_dedup.suffix_dedup(df, length=length, core=core, most=most, short=short, words=words).collect())
+    assert got == Counter((i, *x, *y) for (i, _, _), x, y in zip(rows, brute_removed(own, length), brute_passages(own, short, words), strict=True))
+    assert sum(x[2] for x in got) > 0 and sum(x[5] for x in got) > 0
     assert suffix_dedup.suffix_dedup(df.limit(0)).collect() == []
 
 
@@ -218,16 +243,28 @@ def test_window_hashes_hang_on_the_window_alone():
     assert len(seen) == 1
 
 
-def test_levels_merge_geometrically(spark):
-    family = suffix_dedup.Family()
-    seen = Counter()
-    for k in range(7):
-        prints = [random.Random(k).randint(0, 40) for _ in range(12)]
-        hits = {x["print"] for x in family.add(spark.createDataFrame([(p, 1) for p in prints], "print long, n int")).collect()}
-        seen.update(prints)
-        assert hits == {p for p in prints if seen[p] > 1}
-    assert [rank for rank, _ in family.levels] == [2, 1, 0]
-    assert Counter({x["print"]: x["n"] for _, level in family.levels[:1] for x in level.collect()}).total() == 48
+def test_levels_merge_geometrically(spark, tmp_path):
+    r = random.Random(15)
+    shared = [prose(r, 60) for _ in range(5)]
+    rows = [(k, f"{prose(r, 40)} {r.choice(shared)} {prose(r, 20)}") for k in range(140)]
+    df = spark.createDataFrame(rows, "id long, text string").select(F.col("id"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("row"), "text")
+    spans = lambda family: {(bytes(x["row"]), s["at"] + k, s["kind"]) for x in family.spans(df).collect() for s in x["spans"] for k in range(s["windows"])}
+    seen, ranks = [], []
+    for k in range(7):  # opened anew for each batch, as a later run would
+        suffix_dedup.Family(spark, f"{tmp_path}/one", 60, 20).add(df.where(f"id % 7 = {k}").select("row", "text"))
+        ranks.append([rank for rank, _, _ in suffix_dedup.Family(spark, f"{tmp_path}/one", 60, 20).levels])
+    assert ranks == [[0], [1], [1, 0], [2], [2, 0], [2, 1], [2, 1, 0]]
+    seen = suffix_dedup.Family(spark, f"{tmp_path}/one", 60, 20)
+    level = seen.levels[0][1]
+    for at in pathlib.Path(level).glob("*.parquet"):  # every bucket is an array in order
+        keys = pq.read_table(at).select(suffix_dedup.KEY).to_pylist()
+        assert [tuple(x.values()) for x in keys] == sorted({tuple(x.values()) for x in keys})
+    whole = suffix_dedup.Family(spark, f"{tmp_path}/two", 60, 20)
+    whole.add(df.select("row", "text"))
+    assert spans(seen) == spans(whole) and len(spans(whole)) > 1000
+    wanted = [(i, removed) for (i, _), (_, removed, _, _) in zip(rows, brute_removed([t for _, t in rows], 60), strict=True)]
+    assert sum(x for _, x in wanted) > 0 and {i for i, x in wanted if x} == {int.from_bytes(row, "big") for row, _, _ in spans(seen)}
+    assert not spark.catalog.listTables()
 
 
 # --- quality ---
