@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import row_key, stored
 from quarry.llm.decontaminate import contaminated
 from quarry.llm.near_dups import near_duplicates
 from quarry.llm.packing import best_fit_packing
@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_row"))
+    return docs.select(*COLUMNS, row_key(F.col("doc_id"), F.col("text")).alias("_row"))
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -47,10 +47,10 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes and more that repeat go from the texts; halves of characters at a cut go with them."""
-    left = kept_texts(docs.select(*COLUMNS))
-    text = F.when(F.col("_n_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
-    return left.select("doc_id", text.alias("text"), "lang", "source", F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"))
+    """Strings of 400 bytes and more that repeat go from the texts, and so do repeated passages of over 50 words, which mostly have fewer bytes; halves of characters at a cut go with them."""
+    left = kept_texts(docs.select(*COLUMNS), words=51, passages_go=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("doc.text"))
+    return left.select("doc.doc_id", text.alias("text"), "doc.lang", "doc.source", F.length(F.coalesce(text, F.lit(""))).cast("long").alias("n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
