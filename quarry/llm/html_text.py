@@ -25,11 +25,17 @@ from quarry.llm.common import chunks
 PAGES, EPOCHS, HIDDEN = 480, 14, 20
 PATH_DIMS, WORD_DIMS, RATES = 96, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + RATES
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"""
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<""",
-    re.I | re.S,
+#: Pieces of a page; no part of an expression gives back what it took, so that none is read twice.
+PIECE = (
+    r"""<!--.*?(?:-->|(?P<cut>\Z))|<(?P<raw>script|style|textarea|iframe)(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>|(?P<cut_raw>\Z))"""
+    r"""|<(?P<shut>/?)(?P<tag>[a-z][^\s/>]*+)(?P<rest>{})>|<[!?/][^>]*+>|[^<]++|<"""
 )
+QUOTED = re.compile(PIECE.format(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""), re.I | re.S)
+#: For the rest of a page after a quotation mark in a tag that nothing closes.
+UNQUOTED = re.compile(PIECE.format(r"[^>]*+"), re.I | re.S)
+#: What follows the last tag.
+TAIL = re.compile(r"(?P<tag>(?!))?(?:[^<]+|<)")
+BEGINS = re.compile(r"</?[a-z]", re.I)
 #: Elements without text of the page; one that isn't closed loses its tag only.
 SKIPPED = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("template", "noscript", "svg")}
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -40,90 +46,128 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 ENDS |= dict.fromkeys("p div ul ol dl table form article section aside nav header footer main h1 h2 h3 h4 h5 h6 blockquote pre figure hr fieldset".split(), ({"p"}, {"button", "td", "th", "table"}))
 
 
+class Step:
+    """A place among elements: the block elements from the root to here, shared by all blocks below."""
+
+    __slots__ = ("above", "below", "name", "own")
+
+    def __init__(self, above: Step | None, name: str):
+        self.above, self.name = above, name
+        self.below: dict[str, Step] = {}
+        self.own: np.ndarray | None = None
+
+    def to(self, name: str) -> Step:
+        if (step := self.below.get(name)) is None:
+            step = self.below[name] = Step(self, name)
+        return step
+
+    def vector(self) -> np.ndarray:
+        """The hashed elements and class names on the way, each step's added to its parent's once."""
+        way, at = [], self
+        while at is not None and at.own is None:
+            way.append(at)
+            at = at.above
+        for step in reversed(way):
+            step.own = np.zeros(PATH_DIMS, np.float32) if step.above is None else step.above.own.copy()
+            if step.above is not None:
+                step.own[list(marks(step.name))] = 1
+        return self.own
+
+
+@lru_cache(4096)
+def marks(name: str) -> frozenset[int]:
+    """The buckets of an element and its names."""
+    tag, _, names = name.partition(" ")
+    return frozenset(zlib.crc32(x.encode()) % PATH_DIMS for x in {tag} | {f".{x}" for x in re.split(r"[\s_-]+", names) if x})
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]
+    path: Step
     text: str
     linked: int
 
 
 def tokens(page: str) -> Iterator[re.Match]:
-    """The page's tokens outside of skipped elements."""
-    at: int | None = 0
+    """The page's tokens outside of skipped elements, in time proportional to its length; what follows its last ``>`` is text."""
+    last, at, pattern = page.rfind(">") + 1, 0, QUOTED
     unclosed: set[str] = set()
-    while at is not None:
-        start, at = at, None
-        for m in TOKEN.finditer(page, start):
-            tag = (m[3] or "").lower()
+    while True:
+        for m in pattern.finditer(page, at, last):
+            tag = (m["tag"] or "").lower()
+            if m["cut"] is not None or m["cut_raw"] is not None:
+                return
+            if m[0] == "<" and pattern is QUOTED and BEGINS.match(page, m.start()):
+                at, pattern = m.start(), UNQUOTED
+                break
             if tag not in SKIPPED:
                 yield m
-            elif not m[2] and tag not in unclosed and not (tag == "svg" and m[4].endswith("/")):
-                if end := SKIPPED[tag].search(page, m.end()):
+            elif not m["shut"] and tag not in unclosed and not (tag == "svg" and m["rest"].endswith("/")):
+                if end := SKIPPED[tag].search(page, m.end(), last):
                     at = end.end()
                     break
                 unclosed.add(tag)
+        else:
+            break
+    yield from TAIL.finditer(page, max(at, last))
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, root: Step | None = None) -> list[Block]:
     """The page's non-empty leaf blocks in order, character references decoded, white space made single."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    here = root or Step(None, "")
+    stack: list[tuple[str, Step]] = []
+    opened: dict[str, list[int]] = {}
     held: list[str] = []
-    linked = inside = 0
-    path: tuple[str, ...] | None = ()
+    linked = 0
+    last = lambda names: max((opened[t][-1] for t in names if opened.get(t)), default=-1)
 
     def flush() -> None:
-        nonlocal held, linked, path
+        nonlocal held, linked
         if held:
             if text := " ".join(html.unescape("".join(held)).split()):
-                if path is None:
-                    path = tuple(f"{t} {n}" for t, n in stack if t not in INLINE)
-                out.append(Block(path, text, linked))
+                out.append(Block(here, text, linked))
             held, linked = [], 0
 
     def shut(k: int) -> None:
-        nonlocal path, inside
-        if any(t not in INLINE for t, _ in stack[k:]):
+        nonlocal here
+        goes = stack[k:]
+        if any(t not in INLINE for t, _ in goes):
             flush()
-            path = None
-        inside -= sum(t == "a" for t, _ in stack[k:])
+        here = goes[0][1]
+        for t, _ in goes:
+            opened[t].pop()
         del stack[k:]
 
     for m in tokens(page):
-        tag = m[3]
+        tag = m["tag"]
         if tag is None:
             t = m[0]
             if t[0] != "<" or t == "<":
                 held.append(t)
-                linked += len(t) if inside else 0
+                linked += len(t) if opened.get("a") else 0
             continue
         tag = tag.lower()
-        if m[2]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+        if m["shut"]:
+            if opened.get(tag):
+                shut(opened[tag][-1])
+            elif tag in ("br", "p"):
                 flush() if tag == "p" else held.append(" ")
-                continue
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    shut(k)
-                    break
             continue
         if tag == "br":
             held.append(" ")
             continue
         if tag in ENDS:
             goes, border = ENDS[tag]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in goes:
-                    shut(k)
-                    break
-                if stack[k][0] in border:
-                    break
+            if (k := last(goes)) > last(border):
+                shut(k)
         if tag not in INLINE:
             flush()
-            path = None
-        if tag not in VOID and not m[4].endswith("/"):
-            names = " ".join(x for g in NAMES.findall(m[4]) for x in g if x) if m[4] else ""
-            stack.append((tag, names.lower()))
-            inside += tag == "a"
+        if tag not in VOID and not m["rest"].endswith("/"):
+            opened.setdefault(tag, []).append(len(stack))
+            stack.append((tag, here))
+            if tag not in INLINE:
+                names = " ".join(x for g in NAMES.findall(m["rest"]) for x in g if x) if m["rest"] else ""
+                here = here.to(f"{tag} {names.lower()}")
     flush()
     return out
 
@@ -141,24 +185,13 @@ class Buckets(dict):
 BUCKETS = Buckets()
 
 
-@lru_cache(4096)
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIMS, np.float32)
-    for step in path:
-        tag, _, names = step.partition(" ")
-        marks = {tag} | {f".{x}" for x in re.split(r"[\s_-]+", names) if x}
-        for x in marks:
-            v[zlib.crc32(x.encode()) % PATH_DIMS] = 1
-    return v
-
-
 def vectors(page: list[Block]) -> np.ndarray:
     """One row a block."""
     x = np.zeros((len(page), DIMS), np.float32)
     for k, (path, text, linked) in enumerate(page):
         words = text.split(" ")
         n = len(text)
-        x[k, :PATH_DIMS] = path_vector(path)
+        x[k, :PATH_DIMS] = path.vector()
         x[k, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.sqrt(np.bincount([BUCKETS[w] for w in words], minlength=WORD_DIMS) / len(words))
         x[k, PATH_DIMS + WORD_DIMS :] = (np.log1p(n) / 5, np.log1p(len(words)) / 4, min(1, linked / n), text.count(".") / n * 10, text.count(",") / n * 10, (k + 1) / len(page), 1 / (k + 1), text[-1] in ".!?…")
     return x
@@ -385,14 +418,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``page_id, url, text, n_chars, n_blocks, n_kept`` for every page.
 
     Null and empty html, and pages without main text, give an empty text.  Ids, urls and
-    repeated rows are passed on as they are; further columns aren't read.
+    repeated rows are passed on as they are; a page may be of any length and depth; further columns aren't read.
     """
     net = net or trained()
     names = ["page_id", "url", "text", "n_chars", "n_blocks", "n_kept"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", 2 << 20):
-            found = [blocks(x or "") for x in batch.column("html").to_pylist()]
+            root = Step(None, "")  # shared by the pages of a chunk, which mostly have like paths
+            found = [blocks(x or "", root) for x in batch.column("html").to_pylist()]
             kept = net.label([vectors(b) for b in found])
             text = ["\n\n".join(b.text for b, k in zip(f, w, strict=True) if k) for f, w in zip(found, kept, strict=True)]
             yield pa.RecordBatch.from_arrays(
