@@ -18,6 +18,7 @@ import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any, BinaryIO, NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import chunks, shared_dir, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+#: Repeated payloads up to which their digests (some 100 bytes each) are sent to every task; beyond, pages are joined by id.
+FEW = 100_000
+#: Ranges that a task reads.
+RANGES = 8
 EOCD, EOCD64, LOCATOR, CENTRAL, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
 
 
@@ -139,8 +144,8 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def clean(value: Any) -> str:
-    """A value that can stand in a header line."""
-    return " ".join(str(value).split())
+    """A value that can stand in a header line: white space, control characters and the percent sign escaped."""
+    return "".join(c if c.isprintable() and c not in " %" else quote(c) for c in str(value))
 
 
 def write_packages(records: DataFrame, folder: str, package_bytes: int = 8 << 20) -> DataFrame:
@@ -168,7 +173,9 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = 8 << 20
         for batch in chunks(batches, "html"):
             for row in batch.to_pylist():
                 fields = {"WARC-Type": row["kind"], "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Target-URI": clean(row["url"] or ""), "WARC-Date": "2000-01-01T00:00:00Z"}
-                fields |= {"WARC-Payload-Digest": f"sha256:{row['digest']}", "WARC-Page-ID": clean("" if row["id"] is None else row["id"]), "WARC-Payload-Length": str(row["n_bytes"])}
+                fields |= {"WARC-Payload-Digest": f"sha256:{row['digest']}", "WARC-Payload-Length": str(row["n_bytes"])}
+                if row["id"] is not None:
+                    fields["WARC-Page-ID"] = clean(row["id"])
                 if row["kind"] == "revisit":
                     fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Page-ID": clean(row["refers_to"])}
                 raw = record(fields, (row["html"] or "").encode())
@@ -185,9 +192,10 @@ def write_packages(records: DataFrame, folder: str, package_bytes: int = 8 << 20
 def read_packages(packages: DataFrame, folder: str, range_bytes: int = 4 << 20) -> DataFrame:
     """``id, url, payload, kind, digest, n_bytes, refers_to`` of each record in the packages.
 
-    First the directories and indexes are read, one small task a package; then the records, dealt out by ranges
+    First the directories and indexes are read, a row a package; then the records, dealt out to tasks by ranges
     of about ``range_bytes``, each by one read of its own bytes.
     """
+    spark = packages.sparkSession
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = opened(folder)
@@ -214,23 +222,33 @@ def read_packages(packages: DataFrame, folder: str, range_bytes: int = 4 << 20)
                 with system.open_input_file(row["path"]) as f:
                     for start, size in zip(row["starts"], row["sizes"], strict=True):
                         h, payload = parsed(span(f, start, size))
-                        out.append((h["WARC-Page-ID"] or None, h["WARC-Target-URI"], payload, h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["WARC-Payload-Length"]), h.get("WARC-Refers-To-Page-ID")))
+                        page, refers = (None if (x := h.get(k)) is None else unquote(x) for k in ("WARC-Page-ID", "WARC-Refers-To-Page-ID"))
+                        out.append((page, unquote(h["WARC-Target-URI"]), payload, h["WARC-Type"], h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["WARC-Payload-Length"]), refers))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    ranges = packages.mapInArrow(index, "path string, starts array<long>, sizes array<long>")
-    return ranges.mapInArrow(read, "id string, url string, payload binary, kind string, digest string, n_bytes long, refers_to string")
+    some = packages.repartition(max(1, min(packages.count(), 4 * spark.sparkContext.defaultParallelism)))
+    ranges = stored(some.mapInArrow(index, "path string, starts array<long>, sizes array<long>"), "ranges")
+    tasks = max(1, spark.sparkContext.defaultParallelism, ranges.count() // RANGES)
+    return ranges.repartition(tasks).mapInArrow(read, "id string, url string, payload binary, kind string, digest string, n_bytes long, refers_to string")
 
 
-def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> DataFrame:
+def deduplicated(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100, few: int = FEW) -> DataFrame:
     """Pages as records: equal payloads of ``least`` bytes or more are stored once, at the smallest id.
 
-    The payloads aren't shuffled for that, only their digests.  Rows that share the smallest id
-    and the payload are all responses; a null id never is the smallest unless all are null.
+    Copies are found by digests alone, without the payloads.  Where at most ``few`` payloads repeat, their first ids are sent to
+    every task and no payload moves; beyond, those of the revisits are joined to the pages by id, so copies don't meet in one task.
+    Rows that share the smallest id and the payload are all responses; a null id never is the smallest unless all are null.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "n_bytes": F.octet_length("html").cast("long")})
-    first = rows.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = rows.join(first, "digest", "left")
+    large = rows.where(F.col("n_bytes") >= least).select("id", "digest")
+    first = stored(large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-payloads")
+    if first.count() <= few:
+        out = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        again = large.distinct().join(first, "digest").where(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+        again = stored(again.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "first"), "revisits")
+        out = rows.join(again, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     return out.select(
         "id", "url", F.when(~revisit, F.col("html")).alias("html"), "digest", "n_bytes",
@@ -243,14 +261,14 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Returns ``page_id, payload_bytes, payload_digest, record_type, refers_to``, a row for each page.
     A response's digest and length are taken from the payload as read; a revisit's come from its
-    record.  Null html is an empty payload; an empty table makes no package and no row.
+    record.  Null html is an empty payload; an empty table makes no package and no row; a payload may be of any length.
+    Ids of any type come back as they went, null or empty text too; further columns aren't read, whatever their names.
     """
     spark = pages.sparkSession
     kind = pages.select(F.col(id_col)).schema[0].dataType
     folder = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
     packages = stored(write_packages(deduplicated(pages, id_col, url_col, html_col, least), folder), "packages")
-    few = packages.repartition(max(1, spark.sparkContext.defaultParallelism))
-    got = read_packages(few, folder)
+    got = read_packages(packages, folder)
     whole = F.col("kind") == "response"
     return got.select(
         F.col("id").cast(kind).alias("page_id"),
