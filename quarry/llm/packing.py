@@ -3,10 +3,11 @@
 Texts are tokenised by word: no token of this vocabulary's pre-tokenizer crosses a space, so a
 worker encodes each distinct space-free string once and gathers a text's ids from those.
 Pieces shorter than a sequence are dealt to shards of bounded size.  A shard is packed by
-several islands: each starts from best-fit orders of its own and breeds.  A child
+several islands: each starts from best-fit packings of random orders and breeds.  A child
 takes whole well-filled bins of one parent, drops the other parent's bins that hold the same
-pieces, and best-fits what was displaced.  After each round an island's elite migrates to the next
+pieces, and best-fits what was displaced, longest first.  After each round an island's elite migrates to the next
 island of its shard.  A shard that reaches ``ceil(tokens / size)`` bins can't be bettered and stops.
+The emptiest bins of all shards are packed again together.
 """
 
 from __future__ import annotations
@@ -261,33 +262,30 @@ def crossed(a: Packing, b: Packing, random: np.random.Generator, share: float =
     return child
 
 
-def evolve(lengths: list[int], size: int, seed: int, guests: list[list[int]], population: int, generations: int) -> tuple[list[int], int, bool]:
-    """Bin of each item in the best packing found, its number of bins, and whether that is the fewest possible."""
+def evolve(lengths: list[int], size: int, seed: int, guests: list[list[int]], population: int, generations: int, last: bool = False) -> tuple[list[int], int, bool]:
+    """Bin of each item in the best packing bred, fullest bins first, their number, and whether that is the fewest possible.
+
+    ``guests`` are packings to breed from beside the ones that best-fit makes of random orders; in the ``last`` round
+    best-fit-decreasing comes in as well, so that no packing is worse than it.
+    """
     random = np.random.default_rng(seed)
     bound = -(-sum(lengths) // size)
     everyone = []
-    order = decreasing(list(range(len(lengths))), lengths)
 
     def enter(p: Packing) -> bool:
         everyone.append((p.fitness(), len(everyone), p))
         return len(p.bins) == bound
 
-    done = False
     for assigned in guests:
         bins: list[list[int]] = [[] for _ in range(max(assigned, default=-1) + 1)]
         for i, b in enumerate(assigned):
             bins[b].append(i)
-        done = done or enter(Packing(lengths, size, bins))
-    for k in range(population):
-        if done:
-            break
+        enter(Packing(lengths, size, bins))
+    while len(everyone) < population:
         p = Packing(lengths, size)
-        if k:  # nearly decreasing, each time otherwise
-            noise = random.normal(0, 0.03 * k * size, len(lengths))
-            p.best_fit(sorted(order, key=lambda i: -(lengths[i] + noise[i])))
-        else:
-            p.best_fit(order)
-        done = enter(p)
+        p.best_fit(random.permutation(len(lengths)).tolist())
+        enter(p)
+    done = not lengths
     for _ in range(generations):
         if done:
             break
@@ -297,40 +295,60 @@ def evolve(lengths: list[int], size: int, seed: int, guests: list[list[int]], po
             a, b = random.choice(len(everyone), 2, replace=len(everyone) < 2)
             if done := enter(crossed(everyone[min(a, b)][2], everyone[max(a, b)][2], random)):
                 break
-    best = min(everyone, key=lambda e: e[:2])[2] if everyone else Packing(lengths, size)
+    if last and not done:
+        p = Packing(lengths, size)
+        p.best_fit(decreasing(list(range(len(lengths))), lengths))
+        enter(p)
+    best = min(everyone, key=lambda e: e[:2])[2]
     assigned = [0] * len(lengths)
-    for k, b in enumerate(best.bins):
-        for i in b:
+    for k, b in enumerate(sorted(range(len(best.bins)), key=lambda b: (best.left[b], b))):
+        for i in best.bins[b]:
             assigned[i] = k
     return assigned, len(best.bins), len(best.bins) == bound
 
 
 def packed(
-    parts: DataFrame, size: int = 2048, shard: int = 8192, islands: int = 2, rounds: int = 2, population: int = 5, generations: int = 5
-) -> DataFrame:
+    parts: DataFrame, size: int = 2048, shard: int = 8192, islands: int = 2, rounds: int = 2, population: int = 4, generations: int = 40, loose: int = 12, pooled: int = 64
+) -> DataFrame:
     """``parts`` (of ``pieces``) with ``sequence_id`` and ``offset``.
 
     Full pieces fill a sequence alone.  Shards hold about ``shard`` of the other pieces and are dealt by row,
-    so that repeated documents spread; their number follows the input and their size does not.
+    so that repeated documents spread; their number follows the input and their size does not.  The ``loose`` emptiest
+    bins of every shard are taken apart again and packed in the same way, those of ``pooled`` shards together, until one shard is left.
     """
     parts = stored(parts, "pieces").withColumn("_row", F.monotonically_increasing_id())
-    full = parts.where(F.col("length") >= size).withColumns({"sequence_id": -F.col("_row") - 1, "offset": F.lit(0).cast("long")}).drop("_row")
-    some = parts.where(F.col("length") < size)
-    n = max(1, round(some.count() / shard))
     names = parts.drop("_row").columns
+    out = parts.where(F.col("length") >= size).select(*names, (-F.col("_row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    some = parts.where(F.col("length") < size)
+    n, level = max(1, round(some.count() / shard)), 0
     dealt = some.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(n)))
+    while True:
+        rows = stored(binned(dealt, names, size, n, islands, rounds, population, generations, level), "bins")
+        final = rows if n == 1 else rows.where(F.col("own") < F.col("bins") - loose)
+        before = "sum(length) OVER (PARTITION BY _shard, own ORDER BY _row ROWS UNBOUNDED PRECEDING) - length"
+        number = (F.col("_shard") * 64 + level) * (1 << 20) + F.col("own")
+        out = out.unionByName(final.select(*names, number.alias("sequence_id"), F.expr(before).alias("offset")))
+        if n == 1:
+            return out
+        dealt = rows.where(F.col("own") >= F.col("bins") - loose).select("_row", *names, F.floor(F.col("_shard") / pooled).alias("_shard"))
+        n, level = -(-n // pooled), level + 1
+
+
+def binned(dealt: DataFrame, names: list[str], size: int, n: int, islands: int, rounds: int, population: int, generations: int, level: int) -> DataFrame:
+    """The rows of ``n`` shards with their bin ``own`` and the shard's number of ``bins``."""
     shards = stored(dealt.groupBy("_shard").agg(F.sort_array(F.collect_list(F.struct("_row", *names))).alias("parts")), "shards")
 
     def island(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one shard at a time
+                (row,) = batch.slice(k, 1).to_pylist()
                 own = row["own"]
                 guests = [g for g in (own, row["guest"]) if g]
                 if row["done"]:
                     out = own, row["bins"], True
                 else:
-                    seed = (row["_shard"] * 64 + row["island"]) * 64 + row["round"]
-                    out = evolve(row["lengths"], size, seed, guests, population if not guests else population - 2, generations)
+                    seed = ((row["_shard"] * 64 + row["island"]) * 64 + row["round"]) * 64 + level
+                    out = evolve(row["lengths"], size, seed, guests, population, generations, row["round"] == rounds - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["_shard"]], pa.int64()), pa.array([row["island"]], pa.int32()), pa.array([out[0]], pa.list_(pa.int32())), pa.array([out[1]], pa.int32()), pa.array([out[2]])],
                     ["_shard", "island", "own", "bins", "done"],
@@ -341,7 +359,8 @@ def packed(
     none = F.lit(None).cast("array<int>")
     state = state.select("_shard", "island", none.alias("own"), F.lit(0).alias("bins"), F.lit(False).alias("done"), none.alias("guest"))
     schema = "_shard long, island int, own array<int>, bins int, done boolean"
-    tasks = parts.sparkSession.sparkContext.defaultParallelism * 2
+    tasks = dealt.sparkSession.sparkContext.defaultParallelism * 2
+    tasks = max(min(tasks, n * islands), n * islands // 32)  # a task's islands are bounded whatever the input
     for k in range(rounds):
         if k:
             best = F.min_by(F.struct("own", "bins", "done"), F.struct("bins", "island")).alias("b")
@@ -350,13 +369,10 @@ def packed(
             state = state.join(elite, ["_shard", "island"]).join(done, "_shard")
             keep = lambda c: F.when(F.col("any"), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
             state = state.select("_shard", "island", keep("own"), keep("bins"), F.col("any").alias("done"), "guest")
-        state = stored(lengths.join(state, "_shard").withColumn("round", F.lit(k)).repartition(min(tasks, n * islands), "_shard", "island").mapInArrow(island, schema), "islands")
-    best = state.groupBy("_shard").agg(F.min_by("own", F.struct("bins", "island")).alias("own"))
-    rows = shards.join(best, "_shard").select("_shard", F.explode(F.arrays_zip("parts", "own")).alias("x"))
-    rows = rows.select("_shard", "x.own", "x.parts.*")
-    before = "sum(length) OVER (PARTITION BY _shard, own ORDER BY _row ROWS UNBOUNDED PRECEDING) - length"
-    placed = rows.select(*names, (F.col("_shard") * (1 << 20) + F.col("own")).alias("sequence_id"), F.expr(before).alias("offset"))
-    return full.select(*names, "sequence_id", "offset").unionByName(placed)
+        state = stored(lengths.join(state, "_shard").withColumn("round", F.lit(k)).repartition(tasks, "_shard", "island").mapInArrow(island, schema), "islands")
+    best = state.groupBy("_shard").agg(F.min_by(F.struct("own", "bins"), F.struct("bins", "island")).alias("b"))
+    rows = shards.join(best, "_shard").select("_shard", "b.bins", F.explode(F.arrays_zip("parts", "b.own")).alias("x"))
+    return rows.select("_shard", "bins", F.col("x.own").alias("own"), "x.parts.*")
 
 
 def best_fit_packing(docs: DataFrame, path: str, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:

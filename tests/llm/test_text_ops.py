@@ -5,6 +5,7 @@ import io
 import json
 import random
 import struct
+import time
 import zipfile
 import zlib
 from collections import defaultdict
@@ -85,7 +86,7 @@ def test_islands_better_best_fit():
     plain = packing.Packing(lengths, 100)
     plain.best_fit(packing.decreasing(list(range(len(lengths))), lengths))
     assigned, n, _ = packing.evolve(lengths, 100, 1, [], 8, 25)
-    assert n <= len(plain.bins)
+    assert n < len(plain.bins)  # breeding beats best-fit, and from random orders
     fill = np.bincount(assigned, weights=lengths)
     assert fill.max() <= 100 and len(fill) == n
     again = packing.evolve(lengths, 100, 1, [], 8, 25)
@@ -96,15 +97,50 @@ def test_islands_better_best_fit():
     assert sorted(i for x in child.bins for i in x) == list(range(len(lengths)))
 
 
+def test_triplets_are_packed_better_than_best_fit():
+    r = np.random.default_rng(3)
+    lengths = []
+    for _ in range(80):  # three items fill a bin exactly
+        a = int(r.integers(380, 490))
+        b = int(r.integers(250, (1000 - a) // 2 + 1))
+        lengths += [a, b, 1000 - a - b]
+    plain = packing.Packing(lengths, 1000)
+    plain.best_fit(packing.decreasing(list(range(240)), lengths))
+    assert packing.evolve(lengths, 1000, 1, [], 4, 40)[1] <= len(plain.bins) - 6
+    assert packing.evolve(lengths, 1000, 1, [], 4, 0, last=True)[1] <= len(plain.bins)
+
+
+def test_shards_share_their_emptiest_bins(spark):
+    r = random.Random(15)
+    parts = [(k, 0, 0, r.randint(1, 60), 0) for k in range(900)]
+    df = spark.createDataFrame(parts, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.packed(df, 64, shard=40, pooled=5, loose=4).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(900))
+    alone = packing.packed(df, 64, shard=40, pooled=5, loose=0).collect()
+    assert placed(got, 64) < placed(alone, 64)
+
+
 def test_html_blocks():
     page = '<title>t</title><script>var a="<p>no</p>"</script><!-- no --><div class="ad">x</div><article><h1>A&amp;B</h1><p><b>one<br>two<p>three &lt;3 <a href="x>y">l</a></article>'
     got = html_text.blocks(page)
     assert [b.text for b in got] == ["t", "x", "A&B", "one two", "three <3 l"]
-    assert got[1].path == ("div ad",) and got[-1].path[0] == "article " and got[-1].linked == 1
+    assert got[1].path.name == "div ad" and got[-1].path.above.name == "article " and got[-1].linked == 1
     for odd in ("", "<", "<p", "a<b", "</p>", "<p title='", "<!--", "<script>"):
         html_text.blocks(odd)
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 60_000, "<div>" * 40_000 + "x", "<div>x" * 30_000, "<p>x<span>" * 20_000, "</i>" * 40_000, "<b>" * 20_000 + "</i>" * 20_000, '<a title="' * 20_000 + ">", "<a \">\" " * 20_000, "<!-- " * 40_000,
+     "<script></script " * 20_000 + ">", "<li>" * 30_000, "<ul><li>y" * 15_000, "<svg>" * 30_000, "</svg " * 30_000, "&" * 200_000, "<table><td>" * 15_000, "word " * 400_000],
+)
+def test_awkward_pages_take_time_in_proportion(page):
+    root = html_text.Step(None, "")
+    began = time.process_time()
+    html_text.vectors(html_text.blocks(page, root))
+    assert time.process_time() - began < 6  # about 100,000 tags; a quadratic cutter takes minutes
+
+
 @pytest.mark.parametrize(
     "lead",
     ['<header><svg-icon name="x"></svg-icon></header>', "<template-card></template-card>", "<style-guide></style-guide>", '<a><svg class="i"/></a>', "<svg><path>", "<noscript>", "<template>", "<svg/><svg><text>no</text></svg>", "<SVG a='>'>no</svg ><svg>"],
@@ -144,6 +180,16 @@ def test_archives_round_trip(spark):
     want = [row(5, big, "revisit", 3), row(3, big), row(9, big, "revisit", 3), row(4, small), row(6, small), row(7, None), row(8, "a" * 100_000), row(3, big), row(None, big, "revisit", 3)]
     assert got == sorted(want, key=str)
     assert warc.round_trip(df.limit(0)).collect() == []
+    rows = [{**r.asDict(), "kind": "x"} for r in df.collect()]
+    one, two = (sorted(map(str, warc.deduplicated(df, few=n).collect())) for n in (0, 10**6))
+    assert one == two and len(one) == len(rows)
+
+
+def test_ids_of_text_come_back_as_they_were(spark):
+    ids = ["a b", "a  b", "", " ", "x%20y", "é\r\nInjected: 1", None, "100%"]
+    df = spark.createDataFrame([(i, "http://h/a b\n", "<p>" + "same " * 40, 0) for i in ids], "page_id string, url string, html string, refers_to int")
+    got = [(x["page_id"], x["record_type"], x["refers_to"]) for x in warc.round_trip(df).collect()]
+    assert sorted(got, key=str) == sorted([(i, "response" if i == "" else "revisit", None if i == "" else "") for i in ids], key=str)
 
 
 def test_zip_directories():
