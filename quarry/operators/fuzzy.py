@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import edit_similarity, name_tokens, sorted_name, token_similarity
 
-#: Screening names that a task may hold; a longer list is joined by key instead.
+#: Screening names that a task may hold; with a longer list, best matches are found by keys instead of all pairs.
 HELD = 20_000
 
 
@@ -58,6 +58,7 @@ def best_matches(people: DataFrame, list_: DataFrame, threshold: float = 0.85, p
     ``people`` and ``list_`` have ``id, name``; names may be null and then match nothing.  Ties go to the smallest screening id.
     The threshold is applied before ranking, which keeps the same first row.
     """
+    pruned = pruned or list_.select("name").distinct().count() > HELD
     pairs = likely_pairs(people, list_, threshold) if pruned else all_pairs(people, list_)
     best = pairs.withColumn("best_score", F.greatest("similarity", "jaccard")).where(F.col("best_score") >= threshold)
     first = list_.groupBy(F.col("name").alias("b_name")).agg(F.min("id").alias("screening_id"))

@@ -71,15 +71,19 @@ def contexts(grouped: DataFrame, separator: str = "\n\n---\n\n") -> DataFrame:
     )
 
 
-def overall_rank(scored: DataFrame) -> DataFrame:
+def overall_rank(scored: DataFrame, fine: int = 2048) -> DataFrame:
     """Every chunk's 1-based ``rank`` in its variant's list, for probes.
 
-    A global rank without a global sort: each task counts below its range's start, which are offsets from a small table.
+    A global rank without a global sort: a row is ranked within its slot, by what stands in the slots before.  A slot is a range of
+    scores, and for a score of 0, which many chunks may have, a range of chunk ids; so it hangs on the row alone.
     """
-    bounds = scored.repartitionByRange("variant_id", F.desc(F.round("score", 9)), "chunk_id").withColumn("_part", F.spark_partition_id())
-    inner = Window.partitionBy("variant_id", "_part").orderBy(*order())
-    sizes = bounds.groupBy("variant_id", "_part").agg(F.count("*").alias("_size"))
-    before = F.coalesce(F.sum("_size").over(Window.partitionBy("variant_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = scored.agg(F.min("chunk_id").alias("_first"), F.max("chunk_id").alias("_last"))
+    share = (F.col("chunk_id").cast("double") - F.col("_first")) / (F.col("_last").cast("double") - F.col("_first") + 1)
+    value = F.round("score", 9)
+    slot = F.struct((-F.floor(value * fine)).alias("a"), F.when(value == 0, F.floor(share * fine)).otherwise(F.when(value < 0, fine).otherwise(-1)).alias("b"))
+    rows = scored.crossJoin(F.broadcast(ends)).withColumn("_slot", slot).drop("_first", "_last")
+    sizes = rows.groupBy("variant_id", "_slot").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy("variant_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("_before", before).drop("_size")
-    ranked = bounds.withColumn("_in", F.row_number().over(inner))
-    return ranked.join(offsets, ["variant_id", "_part"]).withColumn("rank", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+    ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy("variant_id", "_slot").orderBy(*order())))
+    return ranked.join(offsets, ["variant_id", "_slot"]).withColumn("rank", F.col("_in") + F.col("_before")).drop("_slot", "_in", "_before")

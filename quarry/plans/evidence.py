@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import chunking, ranking, tfidf, vector
 from quarry.sources import files
-from quarry.sources.config import IndexMissing, Settings
+from quarry.sources.config import IndexMissing, ModelMissing, Settings
 
 log = logging.getLogger(__name__)
 NOTHING = "Nothing relevant was found."
@@ -117,15 +117,19 @@ def index_chunks(spark: SparkSession, at: str, models: Models) -> None:
 
 
 def append(spark: SparkSession, at: str, docs: DataFrame, settings: Settings, models: Models = Models()) -> int:
-    """Adds documents' chunks (and vectors) to an index; the lexical tables wait for ``index_chunks``."""
+    """Adds documents' chunks (and vectors) to an index; the lexical tables wait for ``index_chunks``.
+
+    Each table gets the rows that it lacks, so a call that was broken off between them is made whole by the next.
+    """
     chunks = chunking.with_ids(chunking.chunked(docs, settings.chunk_size, settings.chunk_overlap)).select("chunk_id", "source", "page", "knowledge_base", "chunk_no", "text")
-    if files.exists(spark, f"{at}/chunks"):
-        chunks = chunks.join(spark.read.parquet(f"{at}/chunks").select("chunk_id"), "chunk_id", "left_anti")
-    n = chunks.count()
-    if n:
-        if models.embed:
-            embedding(chunks, models.embed).write.mode("append").parquet(f"{at}/embeddings")
-        chunks.write.mode("append").parquet(f"{at}/chunks")
+
+    def lacking(name: str) -> DataFrame:
+        return chunks.join(spark.read.parquet(f"{at}/{name}").select("chunk_id"), "chunk_id", "left_anti") if files.exists(spark, f"{at}/{name}/_SUCCESS") else chunks
+
+    if models.embed and not (new := lacking("embeddings")).isEmpty():
+        embedding(new, models.embed).write.mode("append").parquet(f"{at}/embeddings")
+    if n := (new := lacking("chunks")).count():
+        new.write.mode("append").parquet(f"{at}/chunks")
     return n
 
 
@@ -212,7 +216,7 @@ def ask(spark: SparkSession, settings: Settings, question: str, models: Models)
     """An answer straight from the nearest chunks by vector, and the sorted labels of their sources."""
     index = opened(spark, settings.index)
     if index.embeddings is None or not models.embed or not models.answer:
-        raise ValueError("asking needs embeddings, an embedder and an answerer")
+        raise ModelMissing("asking needs an index with embeddings, an embedder and an answerer")
     query = spark.createDataFrame([(0, [float(x) for x in models.embed([question])[0]])], "variant_id int, query array<float>")
     near = vector.nearest(vector.scores(index.embeddings, query), settings.nearest).join(index.chunks, "chunk_id")
     rows = near.orderBy(F.desc(F.round("score", 9)), "chunk_id").select("text", "knowledge_base", "source", T.source_label(F.col("knowledge_base"), F.col("source")).alias("label")).collect()

@@ -13,6 +13,10 @@ class SettingsError(ValueError):
     """Settings that are missing or can't be resolved."""
 
 
+class ModelMissing(ValueError):
+    """Something is asked for that needs a model which isn't there."""
+
+
 class IndexMissing(FileNotFoundError):
     """There is no index yet; build one first."""
 
@@ -33,6 +37,7 @@ class Settings:
     embedding_model: str | None = None
     reformat: bool = False
     model: dict[str, Any] = field(default_factory=dict, repr=False)
+    synonyms: dict[str, list[str]] = field(default_factory=dict)
 
 
 def from_environment(value: Any) -> Any:
@@ -65,6 +70,7 @@ def parsed(raw: dict[str, Any]) -> Settings:
         embedding_model=find.get("embedding_model"),
         reformat=bool((raw.get("pdf_reading_config") or {}).get("use_llm_reformat", False)),
         model=model,
+        synonyms=dict(raw.get("term_synonyms") or {}),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +38,40 @@ def union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame
     return out
 
 
+def unseen(spark: SparkSession, folder: str, kind: str) -> list[str]:
+    """Files of a kind that Spark's readers pass over: below the folder, with a name on their way that begins with ``_`` or ``.``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = system.getFileStatus(at).getPath().toString().rstrip("/")
+    found, every = [], system.listFiles(at, True)
+    while every.hasNext():
+        path = every.next().getPath().toString()
+        if path.endswith(f".{kind}") and any(x.startswith(".") or (x.startswith("_") and "=" not in x) for x in path.removeprefix(top).split("/")):
+            found.append(path)
+    return sorted(found)
+
+
+def contents(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """``path, content`` of the files that ``unseen`` finds, read where the tasks run; one that can't be read has no content."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    system, at = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+                    with system.open_input_stream(at) as f:
+                        content = f.read()
+                except (OSError, ValueError):  # ValueError: a file system that only Spark knows
+                    content = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+
+    return spark.createDataFrame([(p,) for p in unseen(spark, folder, kind)], "path string").mapInArrow(read, "path string, content binary")
+
+
 def listing(spark: SparkSession, folders: str | list[str]) -> DataFrame:
     """``path, kind, knowledge_base, size`` of all PDF and Markdown files below the folders; missing folders are passed over.
 
-    Sort by ``kind`` descending and ``path`` for the order pdf, then md.  Names that start with ``_`` or ``.`` are not listed.
+    Sort by ``kind`` descending and ``path`` for the order pdf, then md.
     """
     parts = []
     for folder in folders_of(folders):
@@ -48,16 +79,21 @@ def listing(spark: SparkSession, folders: str | list[str]) -> DataFrame:
             for kind in ("pdf", "md"):
                 files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{kind}").load(folder)
                 parts.append(files.select("path", F.lit(kind).alias("kind"), F.lit(base_name(folder)).alias("knowledge_base"), F.col("length").alias("size")))
+                if unseen(spark, folder, kind):
+                    parts.append(contents(spark, folder, kind).select("path", F.lit(kind).alias("kind"), F.lit(base_name(folder)).alias("knowledge_base"), F.length("content").cast("long").alias("size")))
     return union(parts, spark, "path string, kind string, knowledge_base string, size long")
 
 
 def markdown(spark: SparkSession, folders: str | list[str], plain: bool = False) -> DataFrame:
-    """One document a Markdown file, without a page; ``plain`` takes the markup off."""
+    """One document a Markdown file, without a page; ``plain`` takes the markup off.  A file that can't be read has none."""
     parts = []
     for folder in folders_of(folders):
         if exists(spark, folder):
-            files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+            files = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
             parts.append(files.select(F.col("_metadata.file_path").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(base_name(folder)).alias("knowledge_base"), F.col("value").alias("text")))
+            if unseen(spark, folder, "md"):
+                text = F.make_valid_utf8(F.col("content").cast("string"))
+                parts.append(contents(spark, folder, "md").where("content IS NOT NULL").select(F.col("path").alias("source"), F.lit(None).cast("int").alias("page"), F.lit(base_name(folder)).alias("knowledge_base"), text.alias("text")))
     out = union(parts, spark, DOCUMENT)
     return out.withColumn("text", unmarked(F.col("text"))) if plain else out
 
@@ -94,6 +130,8 @@ def pdf_pages(spark: SparkSession, folders: str | list[str], parse: Parser) -> D
         if exists(spark, folder):
             files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(folder)
             parts.append(files.select("path", F.lit(base_name(folder)).alias("knowledge_base"), "content"))
+            if unseen(spark, folder, "pdf"):
+                parts.append(contents(spark, folder, "pdf").select("path", F.lit(base_name(folder)).alias("knowledge_base"), "content"))
     return union(parts, spark, "path string, knowledge_base string, content binary").mapInArrow(read, schema)
 
 

@@ -1,6 +1,13 @@
+import http.server
+import io
+import json
+import shutil
+import threading
+
 import pytest
 
-from quarry.cli import questions, rendered
+from quarry import models
+from quarry.cli import main, questions, rendered
 from quarry.plans import evidence
 from quarry.plans.evidence import Checked, Models
 from quarry.sources import config, files
@@ -52,10 +59,10 @@ def settings(folder, tmp_path, **more):
 
 def test_listing_and_markdown(spark, folder):
     got = files.listing(spark, [str(folder), "/nowhere"]).orderBy("kind", "path").collect()
-    assert [(r["path"].rsplit("/", 1)[-1], r["kind"]) for r in got] == [("a.md", "md"), ("empty.md", "md"), ("b.md", "md"), ("bad.pdf", "pdf"), ("p.pdf", "pdf")]
+    assert [(r["path"].rsplit("/", 1)[-1], r["kind"]) for r in got] == [(".h.md", "md"), ("_u.md", "md"), ("a.md", "md"), ("empty.md", "md"), ("b.md", "md"), ("bad.pdf", "pdf"), ("p.pdf", "pdf")]
     assert {r["knowledge_base"] for r in got} == {"kb"}
     docs = files.markdown(spark, str(folder), plain=True).collect()
-    assert len(docs) == 3 and any(r["text"].startswith("Fees") for r in docs) and all(r["page"] is None for r in docs)
+    assert len(docs) == 5 and sum(r["text"] == "hidden" for r in docs) == 2 and any(r["text"].startswith("Fees") for r in docs) and all(r["page"] is None for r in docs)
 
 
 def test_pdf_pages_and_errors(spark, folder):
@@ -70,7 +77,7 @@ def test_build_check_ask_report(spark, folder, tmp_path):
     s = settings(folder, tmp_path, chunk_size=200, chunk_overlap=20)
     with pytest.raises(config.IndexMissing):
         evidence.check(spark, s, "fee?")
-    assert evidence.build(spark, s, models, parse) == evidence.Metrics(3, 2, evidence.opened(spark, s.index).chunks.count())
+    assert evidence.build(spark, s, models, parse) == evidence.Metrics(5, 2, evidence.opened(spark, s.index).chunks.count())
     got = evidence.check(spark, s, "transfer fee", models)
     assert [e["file"] for e in got.evidence] == ["a.md"] and got.answer == "1 source(s)"
     assert evidence.check(spark, s, "transfer fee", Models(verify=lambda q, t: 1 / 0)) == Checked([], None)
@@ -117,6 +124,58 @@ def test_stream_adds_once(spark, folder, tmp_path):
     assert evidence.check(spark, s, "opening hours").evidence
 
 
+def test_append_makes_a_broken_call_whole(spark, folder, tmp_path):
+    s, m = settings(folder, tmp_path), Models(embed=embed)
+    docs = files.markdown(spark, str(folder))
+    n = evidence.append(spark, s.index, docs, s, m)
+    for table in ("chunks", "embeddings"):  # the other table's write was lost
+        shutil.rmtree(tmp_path / "index" / table)
+        evidence.append(spark, s.index, docs, s, m)
+        ids = [[r[0] for r in spark.read.parquet(f"{s.index}/{t}").select("chunk_id").collect()] for t in ("chunks", "embeddings")]
+        assert sorted(ids[0]) == sorted(ids[1]) and len(set(ids[0])) == len(ids[0]) == n
+    assert evidence.append(spark, s.index, docs, s, m) == 0
+
+
+def test_command_line(spark, folder, tmp_path, capsys, monkeypatch):
+    at = tmp_path / "config.yaml"
+    at.write_text(f"llm_config: {{api_key: k}}\nvectorstore_config: {{persist_directory: {tmp_path}/index}}\ndocument_folders: [{folder}]\nchunking_config: {{}}\nretrieval_config: {{}}\n")
+    with pytest.raises(SystemExit):
+        main(["check", "--config", str(at)])
+    assert main(["check", "fee", "--config", str(at)]) == 2
+    assert main(["build", "--config", str(at)]) == 0 and main(["check", "transfer fee", "--config", str(at)]) == 0
+    assert "a.md" in capsys.readouterr().out
+    assert main(["ask", "fee", "--config", str(at)]) == 2 and "embedder" in capsys.readouterr().err
+    m = Models(embed=embed, answer=lambda q, e: f"to {q}")
+    assert main(["build", "--config", str(at)], m) == 0
+    monkeypatch.setattr("sys.stdin", io.StringIO("fee?\n\nhours?\nquit\n"))
+    assert main(["chat", "--config", str(at)], m) == 0
+    out = capsys.readouterr().out
+    assert "to fee?" in out and "to hours?" in out and "[kb] a.md" in out
+
+
+def test_models_over_http(tmp_path):
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            body = json.dumps({"choices": [{"message": {"content": "ya, one"}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    m = models.from_settings(config.Settings([], "", model={"base_url": f"http://127.0.0.1:{server.server_port}/v1/", "model": "m", "api_key": "k"}))
+    assert m.verify("q", "t") == m.paraphrase("q", 2) == m.reformat("t") == m.answer("q", [{"file": "f", "knowledge_base": None, "text": "t"}]) == "ya, one"
+    server.shutdown()
+    assert {(p, a) for p, a, _ in asked} == {("/v1/chat/completions", "Bearer k")} and [b["temperature"] for _, _, b in asked] == [0, 0.3, 0, 0]
+    assert models.from_settings(config.Settings([], "")).answer is None
+
+
 def test_settings(monkeypatch, tmp_path):
     raw = {k: {} for k in config.NEEDED} | {"vectorstore_config": {"persist_directory": "i"}, "document_folders": "one", "llm_config": {"api_key": "${QUARRY_KEY}", "base_url": "${QUARRY_KEY}"}}
     with pytest.raises(config.SettingsError, match="QUARRY_KEY"):
