@@ -92,19 +92,21 @@ PLAIN = rf"list_filter(list_transform({WORDS.format("coalesce(text, '')")}, lamb
 
 SQL["op1_decontaminate"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {PLAIN} AS w FROM documents),
-b AS (SELECT * FROM (SELECT row_number() OVER () AS r, item_id, {PLAIN} AS w FROM benchmark) WHERE len(w) >= 8),
-ds AS ({seed_rows("d")}),
-bs AS ({seed_rows("b")}),
+b AS (SELECT * FROM (SELECT row_number() OVER () AS r, item_id, {PLAIN} AS w FROM benchmark) WHERE len(w) > 0),
+short AS (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) < 8),
+ds AS ({seed_rows("d")}
+  UNION ALL SELECT r, i, -n AS mask, array_to_string(w[i : i + n - 1], ' ') AS key FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN short ON len(w) >= n)),
+bs AS (SELECT * FROM ({seed_rows("(SELECT * FROM b WHERE len(w) >= 8)")}) UNION ALL SELECT r, 1, -len(w), array_to_string(w, ' ') FROM b WHERE len(w) < 8),
 hits AS (SELECT DISTINCT ds.r AS d, bs.r AS b, ds.i - bs.i AS diagonal FROM ds JOIN bs ON ds.mask = bs.mask AND ds.key = bs.key),
 area AS (
   SELECT h.*, d.w AS dw, b.w AS bw, greatest(1, diagonal + 1) AS lo, least(len(d.w), diagonal + len(b.w)) AS hi FROM hits h JOIN d ON d.r = h.d JOIN b ON b.r = h.b),
-wide AS (SELECT *, least(13, hi - lo + 1) AS win FROM area WHERE hi - lo + 1 >= least(13, len(bw))),
-same AS (SELECT d, b, diagonal, lo, win, p, CAST(dw[p] = bw[p - diagonal] AS INT) AS eq FROM (SELECT *, unnest(range(lo, hi + 1)) AS p FROM wide)),
+wide AS (SELECT *, least(13, hi - lo + 1) AS win, CASE WHEN len(bw) < 8 THEN 1.0::DOUBLE ELSE 0.75 END AS share FROM area WHERE hi - lo + 1 >= least(13, len(bw))),
+same AS (SELECT d, b, diagonal, lo, win, share, p, CAST(dw[p] = bw[p - diagonal] AS INT) AS eq FROM (SELECT *, unnest(range(lo, hi + 1)) AS p FROM wide)),
 run AS (SELECT *, sum(eq) OVER (PARTITION BY d, b, diagonal ORDER BY p) AS upto FROM same),
 good AS (
   SELECT x.d, x.b, x.diagonal, min(x.p - x.win + 1) AS first, max(x.p) AS last
   FROM run x LEFT JOIN run y ON y.d = x.d AND y.b = x.b AND y.diagonal = x.diagonal AND y.p = x.p - x.win
-  WHERE x.p - x.win + 1 >= x.lo AND x.upto - coalesce(y.upto, 0) >= ceil(0.75 * x.win - 1e-9) GROUP BY x.d, x.b, x.diagonal),
+  WHERE x.p - x.win + 1 >= x.lo AND x.upto - coalesce(y.upto, 0) >= ceil(x.share * x.win - 1e-9) GROUP BY x.d, x.b, x.diagonal),
 spans AS (
   SELECT g.d, g.b, g.first, g.last, sum(s.eq) AS equal FROM good g JOIN same s ON s.d = g.d AND s.b = g.b AND s.diagonal = g.diagonal AND s.p BETWEEN g.first AND g.last
   GROUP BY g.d, g.b, g.diagonal, g.first, g.last),
