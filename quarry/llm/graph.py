@@ -58,7 +58,8 @@ def components(edges: DataFrame, forests: bool = False) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that both sides of the join come straight from a shuffle: Spark then splits the rows of a large star's centre.
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lowest")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
