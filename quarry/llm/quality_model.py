@@ -3,8 +3,8 @@
 A document is a bag of passages of ``PASSAGE`` words, all of them.  Each passage is encoded from rates of
 its words and a hashed bag of words; gated attention weighs the encoded passages; the
 weighted sum is scored.  Only documents carry labels: the attention is learned from them too.
-The model is fitted on at most ``sample_rows`` labelled documents, the ones with the smallest
-hash of the id; every document is scored.
+The model is fitted on at most ``sample_rows`` labelled documents with at most ``sample_passages`` passages,
+the ones with the smallest hash of the id; every document is scored.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import chunks, texts
+from quarry.llm.common import chunks, stored, texts
 
 PASSAGE, WORD_DIMS, HIDDEN, ATTENTION = 64, 32, 24, 16
 TRAITS = 11
@@ -130,6 +130,23 @@ class AttentionModel:
     def score(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         return self.forward(x, count)[0] if len(count) else np.zeros(0)
 
+    def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss by every weight."""
+        p, (x, h, t, g, a, z, first) = self.forward(x, count)
+        d = ((p - y) / len(y)).astype(np.float32)[:, None]
+        w, back = self.w, lambda v: np.repeat(v, count, axis=0)
+        grad = {"o": z.T @ d, "b": d.sum(0)}
+        dz = back(d @ w["o"].T)
+        da = (dz * h).sum(1, keepdims=True)
+        de = a * (da - back(np.add.reduceat(a * da, first, axis=0)))
+        grad["a"] = (t * g).T @ de
+        dts = de @ w["a"].T
+        dt, dg = dts * g * (1 - t * t), dts * t * g * (1 - g)
+        grad["v"], grad["u"] = h.T @ dt, h.T @ dg
+        dh = (a * dz + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
+        grad["e"], grad["f"] = x.T @ dh, dh.sum(0)
+        return grad
+
     def fit(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = 24, size: int = 64, seed: int = 11) -> AttentionModel:
         r = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-3
@@ -142,19 +159,7 @@ class AttentionModel:
                 own = order[s : s + size]
                 rows = np.concatenate([np.arange(ends[k] - count[k], ends[k]) for k in own])
                 c = count[own]
-                p, (xx, h, t, g, a, z, first) = self.forward(x[rows], c)
-                d = ((p - y[own]) / len(own)).astype(np.float32)[:, None]
-                w, back = self.w, lambda v, c=c: np.repeat(v, c, axis=0)
-                grad = {"o": z.T @ d, "b": d.sum(0)}
-                dz = back(d @ w["o"].T)
-                da = (dz * h).sum(1, keepdims=True)
-                de = a * (da - back(np.add.reduceat(a * da, first, axis=0)))
-                grad["a"] = (t * g).T @ de
-                dts = de @ w["a"].T
-                dt, dg = dts * g * (1 - t * t), dts * t * g * (1 - g)
-                grad["v"], grad["u"] = h.T @ dt, h.T @ dg
-                dh = (a * dz + dt @ w["v"].T + dg @ w["u"].T) * (1 - h * h)
-                grad["e"], grad["f"] = xx.T @ dh, dh.sum(0)
+                w, grad = self.w, self.gradients(x[rows], c, y[own])
                 step += 1
                 rate = 0.006 * (1 - 0.9 * epoch / epochs)
                 for k in w:
@@ -169,20 +174,28 @@ def held_out(name: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(name).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000) -> AttentionModel | None:
-    """A model of the labelled documents that aren't held out; null labels don't count; None if there are none."""
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 6000, sample_passages: int = 200_000) -> AttentionModel | None:
+    """A model of the labelled documents that aren't held out; null labels don't count; None if there are none.
+
+    A document with both labels counts with each; of rows that share an id the smallest text counts.
+    """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     known = known.where(~held_out("id")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             x, count = passages(texts(batch, "text"))
             ends = np.cumsum(count)
             raw = [x[e - c : e].astype("<f4").tobytes() for e, c in zip(ends, count, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(raw, pa.binary())], ["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("label"), pa.array(count, pa.int64()), pa.array(raw, pa.binary())], ["id", "label", "n", "x"])
 
-    got = sorted(tuple(r) for r in rows.mapInArrow(encode, "id string, label int, x binary").collect())
+    # One row a labelled document: their running total is small, their vectors may not be.
+    encoded = stored(rows.mapInArrow(encode, "id string, label int, n long, x binary"), "labelled")
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id", "label"))
+    within = encoded.select("id", "label", "n").withColumn("_upto", upto).where(F.col("_upto") <= sample_passages)
+    got = sorted(tuple(r) for r in encoded.join(F.broadcast(within.select("id", "label")), ["id", "label"]).select("id", "label", "x").collect())
     if not got:
         return None
     bags = [np.frombuffer(r[2], "<f4").reshape(-1, DIMS) for r in got]
@@ -191,14 +204,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    threshold: float = 0.3, sample_rows: int = 6000,
+    threshold: float = 0.3, sample_rows: int = 6000, sample_passages: int = 200_000,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row.
 
     Null and empty texts are one empty passage and get a score; a null id counts as not held out;
-    repeated rows get the same score; without any label every score is 0.5.  Further columns aren't read.
+    repeated rows get the same score; without any label every score is 0.5.  A text may be of any length; an empty
+    table gives an empty result; further columns aren't read.
     """
-    model = fitted(docs, labels, id_col, text_col, label_col, sample_rows)
+    model = fitted(docs, labels, id_col, text_col, label_col, sample_rows, sample_passages)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
