@@ -29,6 +29,44 @@ SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id,
 FROM conversations
 """
 
+#: Tool calls made of user turns, in SQL that both engines read: some lack ``n``, give it a wrong type, have an unknown argument, refer to
+#: themselves or to the turn before, stay unanswered or are answered twice; some results belong to no call.
+CALLS = """
+SELECT conv_id, -1 AS turn, 'system' AS role, '{{"tools":[{{"name":"look","parameters":{{"properties":{{"n":{{"type":"integer"}},"after":{{"type":"object"}}}},"required":["n"]}}}}]}}' AS text
+FROM (SELECT DISTINCT conv_id FROM {turns}) c
+UNION ALL SELECT conv_id, 3 * t, 'assistant', ' {{"tool_calls": [{{"name": "look", "id": "c' || CAST(t AS STRING) || '", "arguments": {{'
+  || CASE WHEN t % 11 = 4 THEN '"zz": null, ' ELSE '' END
+  || CASE WHEN t % 7 = 2 THEN '' WHEN t % 10 = 0 THEN '"n": "five", ' ELSE '"n": ' || CAST(t AS STRING) || ', ' END
+  || '"after": {{"$ref": "c' || CAST(CASE WHEN t % 17 = 6 THEN t ELSE t - 2 END AS STRING) || '"}}}}}}]}}' FROM {turns} a
+UNION ALL SELECT conv_id, 3 * t + 1, 'tool', '{{"tool_call_id":"c' || CAST(t AS STRING) || '", "content": [1, {{"b": 2, "a": "x"}}]}}' FROM {turns} b WHERE t % 3 <> 2
+UNION ALL SELECT conv_id, 3 * t + 2, 'tool', '{{"content":"late","tool_call_id":"' || CASE WHEN t % 8 = 4 THEN 'lost' ELSE 'c' || CAST(t AS STRING) END || '"}}' FROM {turns} d WHERE t % 4 = 0
+"""
+
+SQL["chat_calls"] = f"""
+WITH RECURSIVE turns AS (SELECT DISTINCT conv_id, CAST(turn AS INT) AS t FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+m AS ({CALLS.format(turns="turns")}),
+calls AS (
+  SELECT conv_id, turn, json_extract_string(text, '$.tool_calls[0].id') AS id, json_extract_string(text, '$.tool_calls[0].arguments.after."$ref"') AS ref,
+         json_extract(text, '$.tool_calls[0].arguments.n') AS n, json_type(text, '$.tool_calls[0].arguments.n') AS kind, list_contains(json_keys(text, '$.tool_calls[0].arguments'), 'zz') AS zz
+  FROM m WHERE role = 'assistant'),
+level AS (
+  SELECT conv_id, id, 0 AS level FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls r WHERE r.conv_id = c.conv_id AND r.id = c.ref)
+  UNION ALL SELECT c.conv_id, c.id, l.level + 1 FROM level l JOIN calls c ON c.conv_id = l.conv_id AND c.ref = l.id),
+results AS (SELECT conv_id, turn, json_extract_string(text, '$.tool_call_id') AS id, json_extract_string(text, '$.content') = 'late' AS late FROM m WHERE role = 'tool'),
+first AS (SELECT conv_id, id, min(turn) AS first FROM results GROUP BY ALL),
+every AS (SELECT c.*, l.level, f.first, concat_ws('; ', CASE WHEN kind IS NULL THEN 'missing n' WHEN kind = 'VARCHAR' THEN 'type of n' END, CASE WHEN zz THEN 'unknown zz' END) AS problems
+  FROM calls c LEFT JOIN level l ON l.conv_id = c.conv_id AND l.id = c.id LEFT JOIN first f ON f.conv_id = c.conv_id AND f.id = c.id)
+SELECT conv_id, turn, role, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, turn AS at_turn, 0 AS level, -1 AS part, 'ok' AS status,
+       '{{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"system"}}' AS json FROM m WHERE role = 'system'
+UNION ALL SELECT conv_id, turn, 'assistant', 'call', id, turn, coalesce(level, 0), 0,
+       CASE WHEN level IS NULL THEN 'cyclic' WHEN problems <> '' THEN 'invalid: ' || problems WHEN first IS NULL THEN 'unanswered' ELSE 'ok' END,
+       '{{"arguments":{{"after":{{"$ref":"' || ref || '"}}' || CASE WHEN kind IS NULL THEN '' ELSE ',"n":' || CAST(n AS VARCHAR) END || CASE WHEN zz THEN ',"zz":null' ELSE '' END || '}},"id":"' || id || '","name":"look","role":"assistant"}}' FROM every
+UNION ALL SELECT r.conv_id, r.turn, 'tool', 'result', r.id, coalesce(e.turn, r.turn), coalesce(e.level, 0), 0,
+       CASE WHEN e.id IS NULL THEN 'no call' WHEN r.turn > f.first THEN 'repeated' ELSE 'ok' END,
+       '{{"content":' || CASE WHEN late THEN '"late"' ELSE '[1,{{"a":"x","b":2}}]' END || ',"role":"tool","tool_call_id":"' || r.id || '"}}'
+  FROM results r LEFT JOIN every e ON e.conv_id = r.conv_id AND e.id = r.id LEFT JOIN first f ON f.conv_id = r.conv_id AND f.id = r.id
+"""
+
 SQL["op8_near_duplicates"] = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),

@@ -68,8 +68,18 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def chat_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over tool calls: the driver's conversations have none, so each user turn is told as a call, with results, references and flaws."""
+    from quarry.llm.chat import chat_format
+    from quarry.llm.oracle import CALLS
+
+    turns = table(spark, sf_dir, "conversations").where("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL").selectExpr("conv_id", "CAST(turn AS INT) AS t").distinct()
+    turns.createOrReplaceTempView("chat_call_turns")
+    return chat_format(spark.sql(CALLS.format(turns="chat_call_turns")))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"chat_calls": chat_calls}
 
 
 def oracle_sql() -> dict[str, str]:
