@@ -168,7 +168,8 @@ class Encoder:
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = pc.dictionary_encode(words.flatten())
-        ids, ends = self.rows.take(self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()])
+        places = self.places(coded.dictionary.to_pylist())  # may start the rows afresh
+        ids, ends = self.rows.take(places[coded.indices.to_numpy()])
         return ids, np.concatenate([[0], ends])[bounds]
 
 

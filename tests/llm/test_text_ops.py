@@ -16,6 +16,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import html_text, packing, warc
+from quarry.llm import token_counts as token_counts_module
 from quarry.llm.chat import chat_format
 from quarry.llm.token_counts import PieceCounter, token_counts
 
@@ -43,6 +44,21 @@ def test_ids_equal_the_library():
         assert ids[at[k] : at[k + 1]].tolist() == e.ids
 
 
+def test_ids_stay_right_when_remembered_strings_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    r = random.Random(16)
+    encoder, counter = packing.Encoder(WORD), PieceCounter(PIECE)
+    monkeypatch.setattr(token_counts_module, "REMEMBERED", 40)
+    model = Tokenizer.from_file(WORD)
+    for _ in range(12):
+        ts = [" ".join("".join(r.choice("abcdeü.#") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 30))) for _ in range(5)]
+        ids, bounds = encoder.encode(pa.array(ts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [model.encode(t, add_special_tokens=False).ids for t in ts]
+        assert counter.count(pa.array(ts)).tolist() == [len(counter.model.encode(t)) for t in ts]
+
+
 def test_token_counts_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x", 0), (None, "a b", None, 1), (2, "", "", 2), (1, "a b", "", 3), (1, "a b", "", 3)], DOCS)
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts(df, PIECE, limit=1).collect())
