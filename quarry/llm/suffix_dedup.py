@@ -306,7 +306,7 @@ def partly(mixed: DataFrame, rows: DataFrame, length: int, short: int, most: int
         rows = rows.join(F.broadcast(own), "row", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 19):  # what comes out is several times as large
             parts = batch.column("parts")
             flat = parts.flatten()
             text = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
@@ -392,7 +392,7 @@ def stripped(docs: DataFrame, spans: DataFrame, text_col: str, length: int, shor
     names = ["doc", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", 1 << 20):
             out = []
             for text, own in zip(texts(batch, "text"), batch.column("spans").to_pylist(), strict=True):
                 whole = text.as_py()
@@ -424,7 +424,7 @@ def stripped(docs: DataFrame, spans: DataFrame, text_col: str, length: int, shor
 
 
 def kept_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, core: int = CORE, batches: int = 4, most: int = 20_000,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, core: int = CORE, batches: int = 2, most: int = 20_000,
     short: int = SHORT, words: int = 0, passages_go: bool = False, carry: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """``doc`` (a struct of the input's row, or of the columns ``carry``), ``kept`` (what remains of its text), ``n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes``.
