@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import chunks
 
 PAGES, EPOCHS, HIDDEN = 480, 14, 20
-PATH_DIMS, WORD_DIMS, RATES = 96, 24, 8
+PATH_DIMS, WORD_DIMS, RATES = 192, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + RATES
 #: Pieces of a page; no part of an expression gives back what it took, so that none is read twice.
 PIECE = (
@@ -76,9 +76,10 @@ class Step:
 
 @lru_cache(4096)
 def marks(name: str) -> frozenset[int]:
-    """The buckets of an element and its names."""
+    """The buckets of an element, its names and their first letters."""
     tag, _, names = name.partition(" ")
-    return frozenset(zlib.crc32(x.encode()) % PATH_DIMS for x in {tag} | {f".{x}" for x in re.split(r"[\s_-]+", names) if x})
+    names = {x for x in re.split(r"[\s_-]+", names) if x}
+    return frozenset(zlib.crc32(x.encode()) % PATH_DIMS for x in {tag} | {f".{x}" for x in names} | {f".{x[:6]}~" for x in names if len(x) >= 6})
 
 
 class Block(NamedTuple):
@@ -307,7 +308,7 @@ def made_page(r: np.random.Generator) -> list[tuple[Block, bool]]:
         return "<ul>" + "".join(f'<li><a href="/{k}">{words(1, 2)}</a></li>' for k in range(r.integers(lo, hi))) + "</ul>"
 
     def noise() -> list[tuple[str, bool]]:
-        name = pick("ad", "ad", "ad", "advert", "ads banner", "sponsored", "promo", "share social", "related", "newsletter", "notice", "cookie-notice", "breadcrumb", "tags", "widget")
+        name = pick("ad", "ad", "ad", "advert", "advertisement", "ad-slot", "ads banner", "sponsored", "promo", "share social", "related", "newsletter", "notice", "cookie-notice", "breadcrumb", "tags", "widget")
         tag = pick("div", "div", "div", "section", "aside", "p")
         body = links(2, 6) if r.random() < 0.25 and tag != "p" else words(3, 60)
         return [(f'<{tag} class="{name}">{body}</{tag}>', False)]
@@ -324,7 +325,7 @@ def made_page(r: np.random.Generator) -> list[tuple[Block, bool]]:
         elif kind == "form":
             put(f'<form class="{pick("search", "login", "subscribe", "contact")}"><p>{words(2, 20)}</p><label>{words(1, 3)}</label><input name=q><button>{words(1, 2)}</button></form>')
         elif kind == "comments":
-            wrap(*pick(('<section id="comments">', "</section>"), ('<div class="comments">', "</div>"), ('<div id="comments" class="comment-list">', "</div>"), ('<section class="comments">', "</section>")), [(f"<{pick('div', 'p', 'li')} class=comment>{words(4, 70)}</div>", False) for _ in range(r.integers(1, 6))])
+            wrap(*pick(('<section id="comments">', "</section>"), ('<div class="comments">', "</div>"), ('<div id="comments" class="comment-list">', "</div>"), ('<section class="comments">', "</section>"), ('<section id="comments" class="comments-area">', "</section>")), [(f"<{pick('h2', 'h3')}>{words(1, 3)}</h2></h3>", False)] * int(r.random() < 0.4) + [(f"<{pick('div', 'p', 'li', 'ol><li')} class=comment>{pick('', '<p>')}{words(4, 70)}</div>", False) for _ in range(r.integers(1, 6))])
         else:
             parts.extend(noise())
 
@@ -343,9 +344,9 @@ def made_page(r: np.random.Generator) -> list[tuple[Block, bool]]:
                 body.append((f"<{pick('h2', 'h3')}>{words(1, 8)}</h2></h3>", True))
             elif x < 0.83:
                 body.append((f"<ul><li>{words(2, 20)}</li><li>{words(2, 20)}</ul>", True))
-            elif x < 0.88:
+            elif x < 0.85:
                 body.append((f"<{pick('blockquote', 'pre', 'figcaption', 'div')}>{words(5, 50)}", True))
-            elif x < 0.92:
+            elif x < 0.88:
                 body.append((f'<p>{words(2, 20)} <a href="/x">{words(1, 12)}</a> {words(1, 10)}</p>', True))
             else:
                 body.extend(noise())

@@ -174,6 +174,47 @@ def test_labeller_on_pages_it_has_not_seen():
     assert np.mean(right) > 0.98
 
 
+#: Pages written by hand in layouts that the generator doesn't make: source, main blocks.
+BY_HAND = [
+    (
+        """<!DOCTYPE html><html lang=en><head><title>Harbour news</title><meta charset=utf-8></head><body class="home wp-custom">
+<div id="page"><header class="site-header"><div class="logo"><a href="/">Harbour</a></div><nav class="main-navigation"><ul><li><a href="/a">News</a></li><li><a href="/b">Sport</a></li></ul></nav></header>
+<main id="main"><article class="post-12 post type-post"><h1 class="entry-title">Bridge opens after two years</h1>
+<div class="entry-content"><p>The new bridge over the harbour was opened on Monday by the mayor, two years after work began.</p>
+<p>Some four hundred people walked across in the first hour, and the ferry will run until the end of the month.</p>
+<div class="advertisement">Best prices for boots, order today!</div>
+<h2>What comes next</h2><p>The council will decide in spring whether cars may use it at night.</p></div></article>
+<section id="comments" class="comments-area"><h3>3 replies</h3><ol><li class="comment"><p>Great news, finally!</p></li></ol></section></main>
+<aside id="secondary" class="widget-area"><h3>Recent posts</h3><ul><li><a href="/1">Old pier sold</a></li></ul></aside>
+<footer class="site-footer"><p>Copyright 2024 Harbour Media. All rights reserved.</p></footer></div><script>track()</script></body></html>""",
+        ["Bridge opens after two years", "The new bridge over the harbour was opened on Monday by the mayor, two years after work began.", "Some four hundred people walked across in the first hour, and the ferry will run until the end of the month.", "What comes next", "The council will decide in spring whether cars may use it at night."],
+    ),
+    (
+        """<html><body><div class="topbar menu"><a href=/x>Docs</a> <a href=/y>Blog</a></div><div class="sidebar"><ul><li><a href=1>Install</a><li><a href=2>Usage</a></ul></div>
+<div class="content"><h1>Reading a file</h1><p>Open the file first, then read it line by line. The handle is closed at the end of the block.</p>
+<pre>with open(name) as f: print(f.read())</pre><ul><li>Small files can be read at once.</li><li>Large ones should be read in pieces.</li></ul>
+<p>See also the <a href=/io>chapter on streams</a> for network sources.</p></div><div class="footer">&copy; The authors &middot; <a href=/p>Privacy</a></div></body></html>""",
+        ["Reading a file", "Open the file first, then read it line by line. The handle is closed at the end of the block.", "with open(name) as f: print(f.read())", "Small files can be read at once.", "Large ones should be read in pieces.", "See also the chapter on streams for network sources."],
+    ),
+    (
+        """<body><div class="cookie-notice">We use cookies to improve the site. <button>Accept</button></div><nav><a href=/>Start</a></nav><article><header><h1>Ein Tag am See</h1></header>
+<p>Am fr&uuml;hen Morgen lag der Nebel noch &uuml;ber dem Wasser, und niemand war am Ufer zu sehen.</p><p>Gegen Mittag kamen die ersten G&auml;ste aus der Stadt.</p>
+<form class="newsletter"><label>E-Mail</label><input><button>Abonnieren</button></form><p>Am Abend war es wieder still.</p></article><footer>Impressum</footer></body>""",
+        ["Am frühen Morgen lag der Nebel noch über dem Wasser, und niemand war am Ufer zu sehen.", "Gegen Mittag kamen die ersten Gäste aus der Stadt.", "Am Abend war es wieder still."],
+    ),
+]
+
+
+@pytest.mark.parametrize("n", range(len(BY_HAND)))
+def test_labeller_on_pages_by_hand(n):
+    source, main = BY_HAND[n]
+    found = html_text.blocks(source)
+    (kept,) = html_text.trained().label([html_text.vectors(found)])
+    got = [b.text for b, k in zip(found, kept, strict=True) if k]
+    assert [x for x in got if x in main] == main
+    assert [x for x in got if x not in [*main, "Ein Tag am See"]] == []
+
+
 def test_main_text(spark):
     nav, foot = "<nav><ul><li><a href=/a>aa</a><li><a href=/b>bb</a></ul></nav>", "<footer>&copy; site</footer>"
     body = f"<html><body>{nav}<div class=ad>Buy this now.</div><article><h1>Title here</h1><p>First  para\n of text, long enough.</p><p>Second &eacute; one.</p></article>{foot}</body></html>"
