@@ -7,8 +7,9 @@ for 0.8 that is 7 in 1,000,000.  Texts of similarity 0.3, which boilerplate make
 
 Equal sets are one node from the start.  Nodes that share a key are linked to one of them, not to
 each other, and connected: the *candidate* groups.  Within a group all sets are compared exactly, by
-products of incidence matrices in blocks, and only a spanning forest of the links leaves a task.
-A large group is cut into blocks of like set size; blocks whose sizes rule out a link never meet.
+products of incidence matrices, and only a spanning forest of the links leaves a task.  The sets of a large group first meet
+a few of its own, the pivots: a cluster of near copies hangs together by these, at a cost in proportion to its size, and only pairs that they
+don't connect are compared, in blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import chunks, row_key, stored, texts
@@ -186,28 +187,99 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[tu
     return out
 
 
-def verified(members: DataFrame, rows: DataFrame, size: int, percent: int, most: int = 1200, most_shingles: int = 1_500_000) -> DataFrame:
-    """Edges ``a, b`` of the links within each candidate group; ``members`` has ``node, row, n, component``."""
-    kind = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
-    members = members.withColumn("class", kind)
-    per = members.groupBy("component", "class").agg(F.count("*").alias("count"), F.sum("n").alias("sum"))
-    whole = per.groupBy("component").agg(F.sum("count").alias("all"), F.sum("sum").alias("all_sum"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.greatest(F.col("count") / (most / 2), F.col("sum") / (most_shingles / 2))).cast("int").alias("b")))).alias("blocks"))
-    whole = whole.select("component", F.when((F.col("all") > most) | (F.col("all_sum") > most_shingles), F.col("blocks")).alias("blocks"))
-    placed = members.join(whole, "component")
-    # A row of block i of class c meets the blocks of its own class, of the class below and of the class above.
-    own = "pmod(xxhash64(node), blocks[class])"
-    meets = f"""CASE WHEN blocks IS NULL THEN array(named_struct('c', 0, 'i', 0L, 'd', 0, 'j', 0L)) ELSE concat(
-        transform(sequence(0L, blocks[class] - 1L), j -> named_struct('c', class, 'i', least({own}, j), 'd', class, 'j', greatest({own}, j))),
-        transform(CASE WHEN map_contains_key(blocks, class + 1) THEN sequence(0L, blocks[class + 1] - 1L) ELSE array() END, j -> named_struct('c', class, 'i', {own}, 'd', class + 1, 'j', j)),
-        transform(CASE WHEN map_contains_key(blocks, class - 1) THEN sequence(0L, blocks[class - 1] - 1L) ELSE array() END, j -> named_struct('c', class - 1, 'i', j, 'd', class, 'j', {own}))) END"""
-    placed = placed.select("node", "row", F.expr(meets).alias("meets"), "component")
+def resolved(rows: DataFrame, size: int) -> DataFrame:
+    """``node, component, n, set`` of ``node, component, text``, for the rows whose text makes that node."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             sets = shingle_sets(texts(batch, "text"), size)
             right = [k for k, (s, node) in enumerate(zip(sets, batch.column("node"), strict=True)) if digest(s) == node.as_py()]
             took = batch.take(pa.array(right, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column("node"), took.column("component"), took.column("meets"), pa.array([sets[k].tobytes() for k in right], pa.binary())], ["node", "component", "meets", "set"])
+            yield pa.RecordBatch.from_arrays([took.column("node"), took.column("component"), pa.array([len(sets[k]) for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary())], ["node", "component", "n", "set"])
+
+    return rows.select("node", "component", "text").mapInArrow(resolve, "node binary, component binary, n long, set binary")
+
+
+def pivoted(large: DataFrame, parts: DataFrame, percent: int, pivots: int) -> DataFrame:
+    """``node, component, mask, linked`` of the sets ``large``: to which of ``pivots`` sets of its group each is linked, as bits and as nodes.
+
+    ``parts`` has the number of ``parts`` of each group: the pivots are sent to every part, so that no task has a whole group.
+    """
+    w = Window.partitionBy("component").orderBy(F.xxhash64("node"), "node")
+    few = large.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pivots)
+    few = stored(few.select("component", "_n", "node", "set"), "pivot-sets")
+    few = few.join(parts, "component").select("component", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "_n", "node", "set")
+    dealt = large.join(parts, "component").select("component", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", "set")
+
+    def meet(members: pa.Table, pivot: pa.Table) -> pa.Table:
+        pivot = sorted(zip(pivot.column("_n").to_pylist(), pivot.column("node").to_pylist(), [np.frombuffer(x, np.uint64) for x in pivot.column("set").to_pylist()], strict=True), key=lambda x: x[0])
+        masks, linked = [], []
+        for node, own in zip(members.column("node").to_pylist(), members.column("set").to_pylist(), strict=True):
+            own, mask, to = np.frombuffer(own, np.uint64), 0, []
+            for k, other, theirs in pivot:
+                at = np.searchsorted(theirs, own)
+                common = int((theirs[np.minimum(at, len(theirs) - 1)] == own).sum())
+                if 100 * common >= percent * (len(own) + len(theirs) - common):
+                    mask |= 1 << (k - 1)
+                    if other != node:
+                        to.append(other)
+            masks.append(mask)
+            linked.append(to)
+        return pa.table({"node": members.column("node"), "component": members.column("component"), "mask": pa.array(masks, pa.int64()), "linked": pa.array(linked, pa.list_(pa.binary()))})
+
+    few = few.select(*[F.col(c).alias(c) for c in few.columns])  # columns of its own
+    pairs = dealt.groupBy("component", "part").cogroup(few.groupBy("component", "part"))
+    return pairs.applyInArrow(meet, "node binary, component binary, mask long, linked array<binary>")
+
+
+def joined_masks(masks: DataFrame) -> DataFrame:
+    """``component, mask, piece``: masks that share a pivot, or are connected by such, are one piece; the mask 0 is none (-1)."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for component, every in zip(batch.column("component").to_pylist(), batch.column("masks").to_pylist(), strict=True):
+                forest = Forest()
+                for m in every:
+                    bits = [k for k in range(m.bit_length()) if m >> k & 1]
+                    for k in bits[1:]:
+                        forest.join(bits[0], k)
+                out += [(component, m, forest.root((m & -m).bit_length() - 1) if m else -1) for m in every]
+            c, m, q = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(m, pa.int64()), pa.array(q, pa.int32())], ["component", "mask", "piece"])
+
+    return masks.groupBy("component").agg(F.collect_set("mask").alias("masks")).mapInArrow(join, "component binary, mask long, piece int")
+
+
+def verified(members: DataFrame, rows: DataFrame, size: int, percent: int, most: int = 1200, most_shingles: int = 1_500_000, pivots: int = 8) -> DataFrame:
+    """Edges ``a, b`` of the links within each candidate group; ``members`` has ``node, row, n, component``.
+
+    A group of at most ``most`` sets and ``most_shingles`` shingles is compared in one task.  The sets of a larger one first meet
+    ``pivots`` sets of it.  What is linked to one pivot is connected, and pieces that share a set are one: within a piece nothing is left
+    to find.  The other pairs, of sets that are in no piece or in different ones, are compared in blocks; blocks whose sizes rule out a link never meet.
+    """
+    total = stored(members.groupBy("component").agg(F.count("*").alias("all"), F.sum("n").alias("sum")), "groups")
+    heavy = (F.col("all") > most) | (F.col("sum") > most_shingles)
+    small = rows.select("row", "text").join(members.join(total.where(~heavy), "component").select("node", "row", "component"), "row")
+    dealt = resolved(small, size).select(F.col("component").alias("group"), "node", "set")
+    parts = total.where(heavy).select("component", F.ceil(F.greatest(F.col("all") / most, F.col("sum") / most_shingles)).cast("int").alias("parts"))
+    edges = None
+    if not parts.isEmpty():
+        large = rows.select("row", "text").join(members.join(parts, "component").select("node", "row", "component"), "row")
+        large = stored(resolved(large, size), "large-sets")
+        met = stored(pivoted(large, parts, percent, pivots), "pivots")
+        edges = met.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
+        pieces = stored(joined_masks(met.select("component", "mask")), "pieces")
+        kind = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int")
+        placed = stored(large.select("node", "component", "n", kind.alias("c")).join(met.select("node", "component", "mask"), ["node", "component"]).join(pieces, ["component", "mask"]).select("node", "component", "n", "c", F.col("piece").alias("q")), "placed")
+        per = placed.groupBy("component", "c", "q").agg(F.ceil(F.greatest(F.count("*") / (most / 2), F.sum("n") / (most_shingles / 2))).cast("long").alias("b"))
+        blocks = stored(per.groupBy("component").agg(F.collect_list(F.struct("c", "q", "b")).alias("blocks")), "blocks")
+        own = "named_struct('c', c, 'q', q, 'i', pmod(xxhash64(node), element_at(filter(blocks, x -> x.c = c AND x.q = q), 1).b))"
+        meets = f"""flatten(transform(filter(blocks, x -> abs(x.c - c) <= 1 AND (x.q <> q OR q < 0)),
+            x -> transform(sequence(0L, x.b - 1), j -> array_sort(array({own}, named_struct('c', x.c, 'q', x.q, 'i', j))))))"""
+        placed = placed.join(blocks, "component").select("node", "component", F.explode(F.expr(meets)).alias("m"))
+        pairs = placed.join(large.select("node", "component", "set"), ["node", "component"])
+        dealt = dealt.unionByName(pairs.select(F.md5(F.concat("component", F.to_json("m").cast("binary"))).cast("binary").alias("group"), "node", "set"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, {}
@@ -228,11 +300,8 @@ def verified(members: DataFrame, rows: DataFrame, size: int, percent: int, most:
         if out := close():
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    meet = "array<struct<c:int,i:long,d:int,j:long>>"
-    sets = rows.select("row", "text").join(placed, "row").select("node", "component", "meets", "text").mapInArrow(resolve, f"node binary, component binary, meets {meet}, set binary")
-    dealt = sets.select("component", F.explode("meets").alias("m"), "node", "set")
-    dealt = dealt.select(F.md5(F.concat("component", F.to_json("m").cast("binary"))).alias("group"), "node", "set")
-    return dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a binary, b binary")
+    found = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a binary, b binary")
+    return found if edges is None else found.unionByName(edges)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +309,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked whose sets of ``size``-word shingles have a similarity of ``percent`` or more.  Texts without
     words, null or empty, have no shingle and are linked with nothing.  A component's id is its smallest
-    id that isn't null; rows that repeat that id are all kept.  Further columns aren't read.
+    id that isn't null; rows that repeat that id are all kept.  A text may be of any length; an empty table gives an
+    empty result; further columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(F.col(id_col), F.col(text_col)).alias("row"))
     signed = stored(signatures(rows, size), "signatures")

@@ -141,9 +141,10 @@ def test_large_groups_are_compared_in_blocks(spark):
     members = signed.select("node", "row", "n", F.lit(b"one").alias("component"))
     node = {x["id"]: bytes(x["node"]) for x in signed.collect()}
     want = {(i, c) for i, _, c in brute_components(rows, 2)}
-    for most in (1200, 20):
+    assert 20 < len({c for _, c in want}) < 140
+    for most, pivots in ((1200, 8), (20, 8), (20, 1), (20, 3)):
         forest = graph.Forest()
-        for e in near_dups.verified(members, df, 2, 80, most=most).collect():
+        for e in near_dups.verified(members, df, 2, 80, most=most, pivots=pivots).collect():
             forest.join(bytes(e["a"]), bytes(e["b"]))
         low = {}
         for i in sorted(node):
@@ -151,6 +152,12 @@ def test_large_groups_are_compared_in_blocks(spark):
         assert {(i, low[forest.root(n)]) for i, n in node.items()} == want
 
 
+def test_masks_that_share_a_pivot_are_one_piece(spark):
+    df = spark.createDataFrame([(b"x", m) for m in (0, 1, 2, 6, 8, 8)] + [(b"y", 0)], "component binary, mask long")
+    got = {(bytes(r["component"]), r["mask"]): r["piece"] for r in near_dups.joined_masks(df).collect()}
+    assert got == {(b"x", 0): -1, (b"x", 1): 0, (b"x", 2): 1, (b"x", 6): 1, (b"x", 8): 3, (b"y", 0): -1}
+
+
 def test_tensored_keys_find_pairs_at_the_threshold():
     r = np.random.default_rng(5)
     missed = 0
