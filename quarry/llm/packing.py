@@ -13,7 +13,6 @@ The emptiest bins of all shards are packed again together.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,7 +28,7 @@ from quarry.llm.common import chunks, stored, texts
 #: Strings whose ids a worker remembers before it starts afresh; bounds memory, not results.
 REMEMBERED = 400_000
 #: Latin letters that no normal form changes, then signs among which no special token or contraction begins.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?#*$%&|\"()/+=@~>-]*)")
+LETTERS, SIGNS = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$", ".,;:!?#*$%&|\"()/+=@~>-"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -75,7 +74,7 @@ class Merger:
 
     def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all runs in a row, and how many each has."""
-        got = [self.piece(r.encode() + b"\xff") for r in runs]
+        got = [self.piece(r.encode() + b"\xff") if r else () for r in runs]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         return self.ids[np.fromiter(chain.from_iterable(got), np.int64, int(lengths.sum()))], lengths
 
@@ -146,19 +145,25 @@ class Encoder:
         Most strings are a run of letters and a run of signs, each of them one pre-token; the different runs are
         merged here and put together.  The others go through the whole tokenizer.
         """
-        simple = [PLAIN.fullmatch(w) for w in words]
-        number: dict[str, int] = {"": 0}
-        halves = [number.setdefault(r, len(number)) for m in simple if m for r in (m[1].lower(), m[2])]
+        column = pa.array(words, pa.string())
+        letters = pc.utf8_rtrim(column, characters=SIGNS)
+        plain = pc.match_substring_regex(letters, LETTERS)
+        coded = pc.dictionary_encode(pc.if_else(plain, pc.utf8_lower(letters), ""))
+        plain = plain.to_numpy(zero_copy_only=False)
+        runs = coded.dictionary.to_pylist()
+        two = np.zeros((len(words), 2), np.int64)
+        two[:, 0] = 1 + coded.indices.to_numpy()
+        signed = np.flatnonzero(plain & (pc.binary_length(column).to_numpy() > pc.binary_length(letters).to_numpy()))
+        signs: dict[str, int] = {}
+        for k, n in zip(signed.tolist(), pc.utf8_length(letters).to_numpy()[signed].tolist(), strict=True):
+            two[k, 1] = 1 + len(runs) + signs.setdefault(words[k][n:], len(signs))
+        odd = np.flatnonzero(~plain)
+        two[odd, 0] = 1 + len(runs) + len(signs) + np.arange(len(odd))
         known = Ragged()
         known.append(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        known.append(*self.merger.encode(list(number)[1:]))
-        odd = [w for w, m in zip(words, simple, strict=True) if not m]
-        ids = [e.ids for e in self.model.encode_batch(odd, add_special_tokens=False)]
+        known.append(*self.merger.encode([*runs, *signs]))
+        ids = [e.ids for e in self.model.encode_batch([words[k] for k in odd.tolist()], add_special_tokens=False)]
         known.append(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-        two = np.zeros((len(words), 2), np.int64)
-        plain = np.fromiter((m is not None for m in simple), bool, len(words))
-        two[plain] = np.reshape(halves, (-1, 2))
-        two[~plain, 0] = len(number) + np.arange(len(odd))
         flat, ends = known.take(two.ravel())
         return flat, np.diff(ends[1::2], prepend=0)
 
@@ -182,7 +187,7 @@ def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, id_col
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        for batch in chunks(batches, "text", 2 << 20):
+        for batch in chunks(batches, "text", 4 << 20):
             ids, bounds = encoder.encode(texts(batch, "text"))
             row, piece, start, length, crc = [], [], [], [], []
             for k in range(batch.num_rows):
@@ -309,7 +314,7 @@ def evolve(lengths: list[int], size: int, seed: int, guests: list[list[int]], po
 
 
 def packed(
-    parts: DataFrame, size: int = 2048, shard: int = 8192, islands: int = 2, rounds: int = 2, population: int = 4, generations: int = 40, loose: int = 12, pooled: int = 64
+    parts: DataFrame, size: int = 2048, shard: int = 8192, islands: int = 2, rounds: int = 2, population: int = 4, generations: int = 4, loose: int = 40, pooled: int = 64
 ) -> DataFrame:
     """``parts`` (of ``pieces``) with ``sequence_id`` and ``offset``.
 
