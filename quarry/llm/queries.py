@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.session import table
 
@@ -78,8 +79,17 @@ def chat_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(spark.sql(CALLS.format(turns="chat_call_turns")))
 
 
+def packing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of operator 3's result: every document is there once and whole, every sequence gapless and no longer than allowed."""
+    got = op3_best_fit_packing(spark, sf_dir)
+    ends = got.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("starts"), F.count("*").alias("pieces"))
+    bad = ends.agg(F.count_if((F.col("used") != F.col("end")) | (F.col("starts") != F.col("pieces")) | (F.col("used") > 2048)).alias("bad_sequences"))
+    whole = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("pieces"), F.max("piece").alias("last"))
+    return whole.agg(F.count("*").alias("documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("last") != F.col("pieces") - 1) | (F.col("n") < 1)).alias("bad_documents")).crossJoin(bad)
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"chat_calls": chat_calls}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()} | {"chat_calls": chat_calls, "packing_rules": packing_rules}
 
 
 def oracle_sql() -> dict[str, str]:

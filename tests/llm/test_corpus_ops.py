@@ -461,6 +461,24 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert {x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
 
 
+@pytest.mark.parametrize("case", ["no documents", "no benchmark", "odd rows"])
+def test_pipeline_of_odd_tables(spark, tmp_path, case):
+    import corpus_pipeline
+
+    r = random.Random(17)
+    good = [(k, prose(r, 40, 9000)) for k in range(30)]
+    long = (50, prose(r, 30_000, 90_000))
+    odd = [(None, None), (None, good[1][1]), (7, ""), (7, good[7][1]), (60, " \n"), long, (51, long[1])]
+    docs = {"no documents": [], "no benchmark": good, "odd rows": good + odd}[case]
+    bench = {"no documents": [(1, "a b c")], "no benchmark": [], "odd rows": [(1, None), (None, ""), (2, good[2][1])]}[case]
+    table = spark.createDataFrame([(i, t, None if k % 5 == 0 else "en", "s", None, "x", 1, "y") for k, (i, t) in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long, kept string, row int, spans string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    want = {"no documents": set(), "no benchmark": set(range(30)), "odd rows": set(range(30)) - {2} | {50}}[case]
+    assert set(got) == want
+
+
 def test_every_operator_has_its_query():
     import __spark_entry__
 
