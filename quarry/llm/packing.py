@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import chunks, stored, texts
 
-#: Strings whose ids a worker remembers before it starts afresh; bounds memory, not results.
-REMEMBERED = 400_000
 #: Latin letters that no normal form changes, then signs among which no special token or contraction begins.
-LETTERS, SIGNS = "^[A-Za-zÀ-ÖØ-öø-ÿ]*$", ".,;:!?#*$%&|\"()/+=@~>-"
+SIGNS, LETTERS = ".,;:!?#*$%&|\"()/+=@~>-", "".join(chr(k) for k in range(65, 256) if chr(k).isalpha() and k not in (170, 181, 186))
+ONLY_LETTERS = f"^[{LETTERS}]*$"
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -45,7 +44,7 @@ class Merger:
     Joins of bytes are looked up by what they make, not by their halves.  That gives the same ids:
     with neighbours x and y that make z, what was merged within them was merged alike in z alone, so if z
     alone is encoded as z, then x and y are the halves it is made of, and if not, z is never made and is left out here.
-    The byte 255, which no UTF-8 text has, marks the word's end.
+    The byte 1, which no run of letters or signs has, marks the word's end.
     """
 
     def __init__(self, model: object, vocabulary: dict[str, int], merges: list):
@@ -54,8 +53,9 @@ class Merger:
 
         pairs = [tuple(pair.split(" ")) if isinstance(pair, str) else tuple(pair) for pair in merges]
         within = BPE(vocabulary, pairs)  # the same merges without an end of the word
-        letters, end = byte_letters(), b"\xff"
-        ranks = {bytes([k, 255]): k for k in range(255)} | {bytes([k]): 255 + k for k in range(256)}
+        letters, end = byte_letters(), b"\1"
+        ranks = {bytes([k]): k for k in range(256)} | {bytes([k, 1]): 255 + k for k in range(256) if k != 1}
+        ranks = {raw: k for k, raw in enumerate(ranks)}
         ids = {}
         for token, k in vocabulary.items():
             stem = token.removesuffix("</w>")
@@ -67,16 +67,20 @@ class Merger:
             alone = (model if stem != x + y else within).tokenize(stem)
             if raw not in ranks and [t.id for t in alone] == [vocabulary[x + y]]:
                 ranks[raw] = len(ranks)
-        self.piece = tiktoken.Encoding("words", pat_str=r"[^ ]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.all = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.last = np.array([raw.endswith(end) for raw in ranks])
         self.ids = np.zeros(len(ranks), np.uint32)
         for raw, rank in ranks.items():
             self.ids[rank] = ids[raw][1] if raw in ids else 0
 
-    def encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all runs in a row, and how many each has."""
-        got = [self.piece(r.encode() + b"\xff") if r else () for r in runs]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        return self.ids[np.fromiter(chain.from_iterable(got), np.int64, int(lengths.sum()))], lengths
+    def encode(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all runs in a row, and how many each has; an empty run has none."""
+        full = pc.binary_length(runs).to_numpy() > 0
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(runs)], pa.int32()), runs), "\1")[0].as_py()
+        got = np.array(self.all(joined + "\1"), np.int64)
+        lengths = np.zeros(len(runs), np.int64)
+        lengths[full] = np.diff(np.flatnonzero(self.last[got]), prepend=-1)
+        return self.ids[got], lengths
 
 
 class Ragged:
@@ -115,11 +119,6 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.merger = Merger(self.model.model, self.model.get_vocab(with_added_tokens=False), json.load(f)["model"]["merges"])
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows = Ragged()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -128,41 +127,23 @@ class Encoder:
             _ENCODERS[path] = cls(path)
         return _ENCODERS[path]
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """Number of each string, encoding the new ones."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = [w for w in words if w not in self.known]
-        if new:
-            first = len(self.known)
-            self.rows.append(*self.encode_words(new))
-            self.known.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the space-free strings in a row, and how many each has.
 
         Most strings are a run of letters and a run of signs, each of them one pre-token; the different runs are
         merged here and put together.  The others go through the whole tokenizer.
         """
-        column = pa.array(words, pa.string())
         letters = pc.utf8_rtrim(column, characters=SIGNS)
-        plain = pc.match_substring_regex(letters, LETTERS)
-        coded = pc.dictionary_encode(pc.if_else(plain, pc.utf8_lower(letters), ""))
-        plain = plain.to_numpy(zero_copy_only=False)
-        runs = coded.dictionary.to_pylist()
-        two = np.zeros((len(words), 2), np.int64)
-        two[:, 0] = 1 + coded.indices.to_numpy()
-        signed = np.flatnonzero(plain & (pc.binary_length(column).to_numpy() > pc.binary_length(letters).to_numpy()))
-        signs: dict[str, int] = {}
-        for k, n in zip(signed.tolist(), pc.utf8_length(letters).to_numpy()[signed].tolist(), strict=True):
-            two[k, 1] = 1 + len(runs) + signs.setdefault(words[k][n:], len(signs))
-        odd = np.flatnonzero(~plain)
+        plain = pc.match_substring_regex(letters, ONLY_LETTERS)
+        parts = [pc.dictionary_encode(pc.if_else(plain, x, "")) for x in (pc.utf8_lower(letters), pc.utf8_ltrim(column, characters=LETTERS))]
+        runs, signs = (x.dictionary for x in parts)
+        two = np.stack([1 + parts[0].indices.to_numpy(), 1 + len(runs) + parts[1].indices.to_numpy()], 1).astype(np.int64)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
         two[odd, 0] = 1 + len(runs) + len(signs) + np.arange(len(odd))
         known = Ragged()
         known.append(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        known.append(*self.merger.encode([*runs, *signs]))
-        ids = [e.ids for e in self.model.encode_batch([words[k] for k in odd.tolist()], add_special_tokens=False)]
+        known.append(*self.merger.encode(pa.concat_arrays([runs, signs])))
+        ids = [e.ids for e in self.model.encode_batch(column.take(pa.array(odd)).to_pylist(), add_special_tokens=False)]
         known.append(np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
         flat, ends = known.take(two.ravel())
         return flat, np.diff(ends[1::2], prepend=0)
@@ -173,8 +154,9 @@ class Encoder:
         bounds = words.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = pc.dictionary_encode(words.flatten())
-        places = self.places(coded.dictionary.to_pylist())  # may start the rows afresh
-        ids, ends = self.rows.take(places[coded.indices.to_numpy()])
+        rows = Ragged()
+        rows.append(*self.encode_words(coded.dictionary))
+        ids, ends = rows.take(coded.indices.to_numpy())
         return ids, np.concatenate([[0], ends])[bounds]
 
 

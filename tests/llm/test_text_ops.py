@@ -44,10 +44,9 @@ def test_ids_equal_the_library():
         assert ids[at[k] : at[k + 1]].tolist() == e.ids
 
 
-def test_ids_stay_right_when_remembered_strings_are_forgotten(monkeypatch):
+def test_ids_stay_right_chunk_after_chunk(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "REMEMBERED", 40)
     r = random.Random(16)
     encoder, counter = packing.Encoder(WORD), PieceCounter(PIECE)
     monkeypatch.setattr(token_counts_module, "REMEMBERED", 40)
