@@ -27,6 +27,8 @@ from quarry.llm.common import chunks, row_key, stored, texts
 from quarry.llm.graph import Forest, components
 
 TABLES, BAND = 24, 4
+#: Nodes with candidates up to which their rows' keys (16 bytes each) are sent to every task, to find their texts without moving all.
+FEW_ROWS = 300_000
 _R = np.random.default_rng(20)
 ODD = (_R.integers(0, 1 << 63, 2 * TABLES * BAND, np.uint64) << np.uint64(1)) | np.uint64(1)
 XOR = _R.integers(0, 1 << 63, 2 * TABLES * BAND, np.uint64)
@@ -188,16 +190,16 @@ def linked(sets: list[np.ndarray], percent: int, columns: int = 2048) -> list[tu
 
 
 def resolved(rows: DataFrame, size: int) -> DataFrame:
-    """``node, component, n, set`` of ``node, component, text``, for the rows whose text makes that node."""
+    """``node, component, heavy, n, set`` of ``node, component, heavy, text``, for the rows whose text makes that node."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             sets = shingle_sets(texts(batch, "text"), size)
             right = [k for k, (s, node) in enumerate(zip(sets, batch.column("node"), strict=True)) if digest(s) == node.as_py()]
             took = batch.take(pa.array(right, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column("node"), took.column("component"), pa.array([len(sets[k]) for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary())], ["node", "component", "n", "set"])
+            yield pa.RecordBatch.from_arrays([took.column("node"), took.column("component"), took.column("heavy"), pa.array([len(sets[k]) for k in right], pa.int64()), pa.array([sets[k].tobytes() for k in right], pa.binary())], ["node", "component", "heavy", "n", "set"])
 
-    return rows.select("node", "component", "text").mapInArrow(resolve, "node binary, component binary, n long, set binary")
+    return rows.select("node", "component", "heavy", "text").mapInArrow(resolve, "node binary, component binary, heavy boolean, n long, set binary")
 
 
 def pivoted(large: DataFrame, parts: DataFrame, percent: int, pivots: int) -> DataFrame:
@@ -260,13 +262,15 @@ def verified(members: DataFrame, rows: DataFrame, size: int, percent: int, most:
     """
     total = stored(members.groupBy("component").agg(F.count("*").alias("all"), F.sum("n").alias("sum")), "groups")
     heavy = (F.col("all") > most) | (F.col("sum") > most_shingles)
-    small = rows.select("row", "text").join(members.join(total.where(~heavy), "component").select("node", "row", "component"), "row")
-    dealt = resolved(small, size).select(F.col("component").alias("group"), "node", "set")
+    own = rows.select("row", "text")
+    if members.count() <= FEW_ROWS:
+        own = own.join(F.broadcast(members.select("row")), "row", "left_semi")
+    sets = stored(resolved(own.join(members.join(total, "component").select("node", "row", "component", heavy.alias("heavy")), "row"), size), "sets")
+    dealt = sets.where("NOT heavy").select(F.col("component").alias("group"), "node", "set")
     parts = total.where(heavy).select("component", F.ceil(F.greatest(F.col("all") / most, F.col("sum") / most_shingles)).cast("int").alias("parts"))
     edges = None
     if not parts.isEmpty():
-        large = rows.select("row", "text").join(members.join(parts, "component").select("node", "row", "component"), "row")
-        large = stored(resolved(large, size), "large-sets")
+        large = stored(sets.where("heavy").dropDuplicates(["node"]), "large-sets")
         met = stored(pivoted(large, parts, percent, pivots), "pivots")
         edges = met.select(F.col("node").alias("a"), F.explode("linked").alias("b"))
         pieces = stored(joined_masks(met.select("component", "mask")), "pieces")
