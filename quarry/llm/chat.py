@@ -16,6 +16,7 @@ gathered by conversation, so a conversation may be of any length.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -91,16 +92,17 @@ def levels(calls: DataFrame) -> DataFrame:
     if refs.isEmpty():
         return every.withColumn("level", F.lit(0))
     every = stored(every, "calls")
-    done = stored(every.join(refs, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    size = done.count()
-    for k in count(1):
-        met = refs.join(done.select("conv_id", F.col("call_id").alias("ref"), F.lit(1).alias("met")), ["conv_id", "ref"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("met").alias("m")).where("n = m").drop("n", "m")
-        done = stored(done.unionByName(ready.join(done, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(k))), "call-levels")
-        if (now := done.count()) == size:
+    new = stored(every.join(refs, ["conv_id", "call_id"], "left_anti"), "call-levels")
+    done = []
+    for k in count():
+        if new.isEmpty():
             break
-        size = now
-    return every.join(done, ["conv_id", "call_id"], "left")
+        done.append(new.withColumn("level", F.lit(k)))
+        left = stored(refs.join(new.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_anti"), "call-refs")
+        ready = refs.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti")
+        new, refs = stored(ready, "call-levels"), left  # only the references that are still open go on
+    levelled = reduce(DataFrame.unionByName, done) if done else every.limit(0).withColumn("level", F.lit(0))
+    return every.join(levelled, ["conv_id", "call_id"], "left")
 
 
 def quoted(name: str) -> Column:
@@ -119,7 +121,7 @@ def chat_format(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
 
     Broken JSON is plain text.  Nulls stay null: a null text is a message without content, a null
     turn sorts first, and null conversation or call ids are never linked.  Repeated rows stay repeated.
-    Further columns aren't read; an empty table gives an empty result.
+    Texts may be of any length.  Further columns aren't read; an empty table gives an empty result.
     """
     messages = parsed(conversations, conv_col, turn_col, role_col, text_col)
     calls = messages.where("size(_calls) > 0").select("conv_id", "turn", "role", F.posexplode("_calls").alias("part", "c"))
