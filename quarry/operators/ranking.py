@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TINY = 1e-9
+#: Variants up to which their extremes (three numbers each) are sent to every task.
+FEW_VARIANTS = 10_000
 
 
-def rescaled(scored: DataFrame, column: str = "score", by: str = "variant_id") -> DataFrame:
+def rescaled(scored: DataFrame, column: str = "score", by: str = "variant_id", few: bool = False) -> DataFrame:
     """``column`` brought to 0..1 for each variant over the whole corpus; all 0 where they don't differ.
 
-    The extremes are aggregated and joined back: a window would bring all rows of a variant to one task.
+    The extremes are aggregated and joined back: a window would bring all rows of a variant to one task.  With ``few`` variants,
+    which the caller has counted, they are sent to every task and no row moves.
     """
     ends = scored.groupBy(by).agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
     span = F.col("_high") - F.col("_low")
     value = F.when(span < TINY, 0.0).otherwise((F.col(column) - F.col("_low")) / span)
-    return scored.join(ends, by).withColumn(column, value).drop("_low", "_high")
+    return scored.join(F.broadcast(ends) if few else ends, by).withColumn(column, value).drop("_low", "_high")
 
 
 def order(score: str = "score") -> tuple[Column, Column]:
@@ -39,10 +42,11 @@ def blended(lexical: DataFrame, semantic: DataFrame | None, chunks: DataFrame, v
     """
     every = semantic.select("variant_id", "chunk_id", F.col("score").alias("semantic")) if semantic is not None else chunks.select("chunk_id").crossJoin(F.broadcast(variants.select("variant_id")))
     both = every.join(lexical.select("variant_id", "chunk_id", F.col("score").alias("lexical")), ["variant_id", "chunk_id"], "left").fillna({"lexical": 0.0})
-    both = rescaled(both, "lexical")
+    few = variants.limit(FEW_VARIANTS + 1).count() <= FEW_VARIANTS
+    both = rescaled(both, "lexical", few=few)
     if semantic is None:
         return both.select("variant_id", "chunk_id", F.col("lexical").alias("score"))
-    both = rescaled(both, "semantic")
+    both = rescaled(both, "semantic", few=few)
     return both.select("variant_id", "chunk_id", (alpha * F.col("lexical") + (1 - alpha) * F.col("semantic")).alias("score"))
 
 

@@ -57,12 +57,15 @@ def test_grouping(spark):
 
 
 def test_overall_rank_needs_no_single_task(spark):
-    rows = [(v, k, float(k % 7)) for v in (0, 1) for k in range(500)]
+    r = random.Random(18)
+    score = lambda v: r.choice([0.0, 0.0, r.uniform(-0.3, 1), round(r.random(), 1), 1e-10, -1e-10]) if v else float(r.randint(0, 6))
+    ids = [r.randint(-(2**62), 2**62) for _ in range(500)]
+    rows = [(v, k, score(v)) for v in (0, 1) for k in ids]
     df = spark.createDataFrame(rows, "variant_id int, chunk_id long, score double")
     got = {(r["variant_id"], r["chunk_id"]): r["rank"] for r in ranking.overall_rank(df).collect()}
     for v in (0, 1):
-        want = sorted((r for r in rows if r[0] == v), key=lambda r: (-r[2], r[1]))
-        assert [got[v, r[1]] for r in want] == list(range(1, 501))
+        want = sorted((x for x in rows if x[0] == v), key=lambda x: (-round(x[2], 9), x[1]))
+        assert [got[v, x[1]] for x in want] == list(range(1, 501))
 
 
 def test_top_n_is_limited_before_the_shuffle(spark):
