@@ -21,7 +21,6 @@ from typing import Any, BinaryIO, NamedTuple
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
