@@ -9,23 +9,32 @@ the pieces of its predecessor that fit ``overlap``.  Chunks are stripped and nev
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters and rows of chunks that a Python worker hands on at once.
+BATCH_CHARS, BATCH_ROWS = 4 << 20, 10_000
 
 
-def pieces(text: str, separator: str) -> list[str]:
+def pieces(text: str, separator: str) -> Iterator[str]:
     if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [p for p in (head, *(separator + r for r in rest)) if p]
-
-
-def joined(parts: list[str], size: int, overlap: int) -> Iterator[str]:
+        yield from text
+        return
+    start, at = 0, text.find(separator)
+    while at >= 0:
+        if at > start:
+            yield text[start:at]
+        start, at = at, text.find(separator, at + len(separator))
+    if start < len(text):
+        yield text[start:]
+
+
+def joined(parts: Iterable[str], size: int, overlap: int) -> Iterator[str]:
     """Consecutive parts as chunks of at most ``size`` characters."""
     held: deque[str] = deque()
     length = 0
@@ -40,26 +49,31 @@ def joined(parts: list[str], size: int, overlap: int) -> Iterator[str]:
         yield "".join(held)
 
 
-def split(text: str, size: int = 800, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """The chunks of a text."""
+def cuts(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
+    """The chunks of a text before they are stripped, one after the other: no list of its pieces is held."""
     k = next(k for k, s in enumerate(separators) if s in text)
-    out: list[str] = []
-    small: list[str] = []
-    for piece in pieces(text, separators[k]):
-        if len(piece) <= size:
-            small.append(piece)
+    for small, run in groupby(pieces(text, separators[k]), lambda p: len(p) <= size):
+        if small:
+            yield from joined(run, size, overlap)
             continue
-        out += joined(small, size, overlap)
-        small = []
-        out += split(piece, size, overlap, separators[k + 1 :]) if separators[k + 1 :] else [piece]
-    out += joined(small, size, overlap)
-    return [c for c in (c.strip() for c in out) if c]
+        for piece in run:
+            yield from cuts(piece, size, overlap, separators[k + 1 :]) if separators[k + 1 :] else [piece]
+
+
+def stripped(chunks: Iterable[str]) -> Iterator[str]:
+    return (c for c in (c.strip() for c in chunks) if c)
+
+
+def split(text: str, size: int = 800, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """The chunks of a text."""
+    return list(stripped(cuts(text, size, overlap, separators)))
 
 
 def chunked(documents: DataFrame, size: int = 800, overlap: int = 100, text_col: str = "text") -> DataFrame:
     """``documents`` with ``chunk_no`` (from 0) and the chunk in place of the text; blank and null texts have no chunk.
 
-    Rows are independent, so nothing is shuffled; Arrow carries whole batches to the splitter.
+    Rows are independent, so nothing is shuffled.  A worker holds the Arrow batch it was given, one text and ``BATCH_CHARS`` of
+    chunks, and never repeats the whole text for each of its chunks.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
@@ -67,17 +81,25 @@ def chunked(documents: DataFrame, size: int = 800, overlap: int = 100, text_col:
     at = names.index(text_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
 
+    def batch_of(source: pa.RecordBatch, row: list[int], number: list[int], text: list[str]) -> pa.RecordBatch:
+        rows = pa.array(row, pa.int64())
+        columns = [pa.array(text, pa.string()) if k == at else source.column(k).take(rows) for k in range(len(names))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32())], [*names, "chunk_no"])
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, number, text = [], [], []
-            for k, whole in enumerate(batch.column(at).to_pylist()):
-                for n, chunk in enumerate(split(whole, size, overlap) if whole else ()):
+            row, number, text, held = [], [], [], 0
+            for k, value in enumerate(batch.column(at)):
+                for n, chunk in enumerate(stripped(cuts(value.as_py() or "", size, overlap))):
                     row.append(k)
                     number.append(n)
                     text.append(chunk)
-            took = batch.take(pa.array(row, pa.int64()))
-            columns = [pa.array(text, pa.string()) if k == at else took.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32())], [*names, "chunk_no"])
+                    held += len(chunk)
+                    if held >= BATCH_CHARS or len(row) >= BATCH_ROWS:
+                        yield batch_of(batch, row, number, text)
+                        row, number, text, held = [], [], [], 0
+            if row:
+                yield batch_of(batch, row, number, text)
 
     return documents.mapInArrow(cut, f"{fields}, chunk_no int")
 

@@ -1,3 +1,6 @@
+from types import SimpleNamespace
+
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -65,3 +68,24 @@ def test_chunked_rows_inherit_everything(spark):
     got = chunking.with_ids(chunking.chunked(df, 100, 10)).collect()
     assert {r["source"] for r in got} == {"s"} and [r["chunk_no"] for r in got] == list(range(len(got)))
     assert len({r["chunk_id"] for r in got}) == len(got) and all(r["page"] == 1 for r in got)
+
+
+def test_chunks_leave_a_worker_in_small_batches(monkeypatch):
+    given = pa.schema([("source", pa.string()), ("text", pa.string())])
+    cut = chunking.chunked(SimpleNamespace(columns=given.names, schema=[], mapInArrow=lambda f, schema: f))
+    texts = ["word " * 60_000, None, "", " \n", "ab\n\n" * 50_000, "x" * 2_000]
+    batch = pa.record_batch([pa.array([f"s{k}" for k in range(len(texts))]), pa.array(texts)], schema=given)
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 100_000, raising=False)
+    pool, before = pa.proxy_memory_pool(pa.default_memory_pool()), pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        sizes, got = [], []
+        for out in cut([batch]):
+            sizes.append(out.nbytes)
+            got += zip(*(c.to_pylist() for c in out.columns), strict=True)
+            del out
+    finally:
+        pa.set_memory_pool(before)
+    assert got == [(f"s{k}", c, n) for k, t in enumerate(texts) if t for n, c in enumerate(chunking.split(t))]
+    assert len(sizes) > 4 and max(sizes) < 150_000
+    assert pool.max_memory() < 1_000_000  # the whole text once for each of its chunks would be 130 MB
