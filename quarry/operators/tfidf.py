@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import terms
 
 VOCABULARY = 50_000
+#: Chunk ids that several rows share, and terms of queries, up to which they are sent to every task.
+FEW = 100_000
 
 
 class Index(NamedTuple):
@@ -23,9 +26,38 @@ class Index(NamedTuple):
     norms: DataFrame
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def counted_terms(text: Column) -> Column:
+    """The distinct terms of a text with their counts, as ``array<struct<term, count>>``: the runs of its sorted terms."""
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        places = F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+        first = F.filter(places, lambda i: ~F.get(words, i).eqNullSafe(F.get(words, i - 1)))
+        count = lambda starts, at, k: (F.coalesce(F.get(starts, k + 1), n) - at).cast("long")
+        return let(first, lambda starts: F.transform(starts, lambda at, k: F.struct(F.get(words, at).alias("term"), count(starts, at, k).alias("count"))))
+
+    return let(F.sort_array(terms(text)), runs)
+
+
 def counts(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, term, count`` of ``chunk_id, text``."""
-    return chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("count"))
+    """``chunk_id, term, count`` of ``chunk_id, text``.
+
+    Each text is counted where it lies.  Only rows that share their id have to meet, and only their counts are shuffled; the ids
+    are counted first, and if too many are shared to be sent to every task, all counts are.
+    """
+    each = lambda rows: rows.select("chunk_id", F.inline(counted_terms(F.col("text"))))
+    shared = chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("chunk_id").alias("_id"))
+    n = shared.limit(FEW + 1).count()
+    if not n:
+        return each(chunks)
+    among = lambda how: chunks.join(F.broadcast(shared), F.col("chunk_id").eqNullSafe(F.col("_id")), how)
+    met = each(among("left_semi") if n <= FEW else chunks).groupBy("chunk_id", "term").agg(F.sum("count").alias("count"))
+    return each(among("left_anti")).unionByName(met) if n <= FEW else met
 
 
 def inverse(n: Column, df: Column) -> Column:
@@ -59,8 +91,10 @@ def query_vectors(queries: DataFrame, words: DataFrame) -> DataFrame:
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """``variant_id, chunk_id, score`` for the chunks that share a term with the variant; one pass for all variants.
 
-    The few query vectors are the side that is sent round, if Spark finds them small; the postings stay where they are.
+    The query vectors are sent round if their terms, which are counted, are few; the postings stay where they are.
     """
-    hits = index.postings.join(query_vectors(queries, index.vocabulary), "term")
+    asked = query_vectors(queries, index.vocabulary)
+    few = queries.select(F.explode(terms(F.col("text")))).limit(FEW + 1).count() <= FEW
+    hits = index.postings.join(F.broadcast(asked) if few else asked, "term")
     dots = hits.groupBy("variant_id", "chunk_id").agg(F.sum(F.col("q") * F.col("weight")).alias("dot"))
     return dots.join(index.norms, "chunk_id").select("variant_id", "chunk_id", (F.col("dot") / F.col("norm")).alias("score"))
