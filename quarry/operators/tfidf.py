@@ -72,10 +72,14 @@ def vocabulary(counted: DataFrame, n: DataFrame, most: int = VOCABULARY) -> Data
 
 
 def fit(chunks: DataFrame, most: int = VOCABULARY) -> Index:
-    """The index of ``chunk_id, text``.  The vocabulary is capped, which bounds what the postings' join may broadcast."""
+    """The index of ``chunk_id, text``.  The vocabulary is capped, which bounds what the joins with it may broadcast.
+
+    The hint is the table's own, so that the queries' terms meet the vocabulary that is sent to the postings, not one made again.
+    """
     counted = counts(chunks)
     words = vocabulary(counted, chunks.agg(F.count("*").alias("n")), most)
-    postings = counted.join(F.broadcast(words) if most <= VOCABULARY else words, "term").select("chunk_id", "term", (F.col("count") * F.col("idf")).alias("weight"))
+    words = F.broadcast(words) if most <= VOCABULARY else words
+    postings = counted.join(words, "term").select("chunk_id", "term", (F.col("count") * F.col("idf")).alias("weight"))
     norms = postings.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return Index(postings, words, norms)
 

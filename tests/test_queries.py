@@ -91,3 +91,22 @@ def test_no_row_for_each_term_of_a_text_is_shuffled(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     pairs = tfidf.counts(catalogue.chunks(spark, DATA)).count()
     assert moved and max(moved) < 0.75 * pairs, (moved, pairs)
+
+
+def test_best_terms_of_the_partitions_are_merged_once(spark):
+    """Each merge shuffles as many terms as the vocabulary holds from every partition; postings, norms and queries share one."""
+    most = 50  # fewer than there are terms, or Spark leaves the merge out
+    df = tfidf.scores(tfidf.fit(catalogue.chunks(spark, DATA), most), catalogue.variants(spark))
+    assert df.collect()
+    merges, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        merges += kind == "TakeOrderedAndProjectExec" and node.limit() == most
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    assert merges == 1
